@@ -1,0 +1,4 @@
+"""Every query of the library by name, with its SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
