@@ -7,10 +7,11 @@ registers, a likelihood over all registers estimates their similarity, and the f
 shingle sets decide.
 
 Only connectivity is asked for, so copies are never paired with each other: documents
-with equal sets are one node; a bucket's nodes are compared with a leader first, and
-only nodes that are still in different components are compared further.  No bucket is
-capped: large ones retire some leaders a round until their nodes are one component or
-few enough to compare all.
+with equal sets are one node; a bucket's nodes are compared with its hub first.  Nodes
+still in different components are compared further only if enough of their shingles
+occur in another such node, which bounds any intersection.  No bucket is capped: large
+ones retire some leaders a round until their nodes are one component or few enough to
+compare all.
 
 Defined results: a null or blank text has an empty set and links with nothing; a null
 id links with nothing, has a null component and is kept; rows that repeat an id are one
@@ -38,6 +39,8 @@ SLACK = 5 * np.sqrt(0.8 * 0.2 / REGISTERS)
 #: Buckets up to this many nodes compare all pairs that are not yet in one component.
 SMALL = 48
 LEADERS = 16
+#: Ids or pairs up to this many (16 bytes each) are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,6 +148,11 @@ def _linked(batches, percent: int):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few enough; else the join shuffles both sides."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 class _Compare:
     """Links among candidate pairs: sizes and register likelihood first, then the full sets."""
 
@@ -154,12 +162,26 @@ class _Compare:
     def __call__(self, pairs: DataFrame) -> DataFrame:
         side = lambda s, t: self.reps.select(F.col("rep").alias(s), F.col("n").alias(f"n{t}"), F.col("regs").alias(f"r{t}"))
         close = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        likely = close.mapInArrow(partial(_likely, percent=self.percent), "a long, b long").distinct()
+        likely = staged(close.mapInArrow(partial(_likely, percent=self.percent), "a long, b long").distinct())
         full = lambda s: self.sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
-        both = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb")
+        both = full("a").join(_bounded(likely), "a").join(full("b"), "b").select("a", "b", "sa", "sb")
         return both.mapInArrow(partial(_linked, percent=self.percent), "a long, b long")
 
 
+def _exploded(batches):
+    for b in batches:
+        for node, x in zip(b.column("node").to_pylist(), b.column("shingles"), strict=True):
+            h = np.frombuffer(x.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(h)], names=["node", "h"])
+
+
+def _shared(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shared): how many of a node's shingles another of the nodes has too; no link can have a larger intersection."""
+    rows = sets.join(_bounded(nodes), "node", "left_semi").mapInArrow(_exploded, "node long, h long")
+    common = rows.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("h")
+    return rows.join(common, "h").groupBy("node").agg(F.count("*").alias("shared"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -178,29 +200,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     cut = f"explode(transform(sequence(0, {REGISTERS // BAND - 1}), i -> xxhash64(i, substring(regs, i * {2 * BAND} + 1, {2 * BAND}))))"
     bands = reps.select("rep", F.expr(cut).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last")
-    live = staged(bands.join(shared, "key").select("key", "rep", "leader"))
-    sets = staged(src.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "node long, shingles binary"))
+    many = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    live = staged(bands.join(many, "key").select("key", "rep", "size"))
+    need = staged(live.select(F.col("rep").alias("doc_id")).distinct())
+    sets = staged(src.join(_bounded(need), "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "node long, shingles binary"))
     compare = _Compare(reps, sets, percent)
 
-    pairs = live.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    labels = staged(connected_components(compare(pairs).toDF("u", "v")))
-    live = live.where("rep <> leader").select("key", "rep")
+    # The node that meets most others leads each of its buckets: copies are near their original more often than near each other.
+    met = live.groupBy("rep").agg(F.sum("size").alias("met"))
+    met = live.join(met, "rep")
+    hubs = met.groupBy("key").agg(F.max(F.struct("met", -F.col("rep"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
+    pairs = staged(live.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    links = staged(compare(pairs).toDF("u", "v"))
+    labels = staged(connected_components(links))
+    named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    named = staged(named.join(split, "key").join(hubs, "key").where("rep <> a").select("key", "rep", "c"))
+    shared = _shared(sets, staged(named.select(F.col("rep").alias("node")).distinct()))
+    sizes = reps.groupBy("rep").agg(F.max("n").alias("n"))
+    live = staged(
+        named.join(shared, named.rep == shared.node).join(sizes, "rep").where(f"10000 * shared >= {percent} * 100 * n")
+        .select("key", "rep", "n", "shared")
+    )
+    fits = f"(100 + {percent}) * least(x.shared, y.shared) >= {percent} * (x.n + y.n)"
     while True:
-        named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        mixed_keys = named.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        held = Staged(named.join(mixed_keys, "key").select("key", "rep", "c", "size"))
+        named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", "n", "shared", F.coalesce("component", "rep").alias("c"))
+        split = named.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+        held = Staged(named.join(split, "key").drop("lo", "hi"))
         if held.df.isEmpty():
             break
         small, large = held.df.where(F.col("size") <= SMALL), held.df.where(F.col("size") > SMALL)
-        pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep and x.c <> y.c").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep and x.c <> y.c").where(fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         sized = large.join(large.groupBy("key", "c").agg(F.count("*").alias("of_c")), ["key", "c"])
         turn = Window.partitionBy("key").orderBy("of_c", "rep")
-        leaders = staged(sized.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= LEADERS).select("key", F.col("rep").alias("a"), F.col("c").alias("ca")))
-        pairs = pairs.union(large.join(leaders, "key").where("c <> ca").select("a", F.col("rep").alias("b")))
-        found = compare(_ordered(pairs)).toDF("u", "v")
-        labels = staged(connected_components(found.union(labels.select(F.col("node"), F.col("component")))))
-        live = staged(large.select("key", "rep").join(leaders.select("key", F.col("a").alias("rep")), ["key", "rep"], "left_anti"))
+        leaders = staged(sized.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= LEADERS).drop("turn", "of_c", "size"))
+        pairs = pairs.union(large.alias("x").join(leaders.alias("y"), "key").where("x.c <> y.c").where(fits).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")))
+        found = staged(compare(_ordered(pairs)).toDF("u", "v"))
+        if not found.isEmpty():
+            labels = staged(connected_components(found.union(labels.select("node", "component"))))
+        live = staged(large.drop("c", "size").join(leaders.select("key", "rep"), ["key", "rep"], "left_anti"))
 
     members = sketch.select("doc_id", *keys).join(classes, keys, "left")
     out = members.join(labels, members.rep == labels.node, "left").select(
