@@ -1,0 +1,225 @@
+"""BPE encoding and decoding with a tokenization automaton.
+
+Compiling reads the merges in order.  Merge number r of (a, b) is one gadget on the
+automaton over tokens: the state behind arc a loses its arc b, and a new arc ab goes
+where b went, so the state behind ab is the state behind b as it stands at r.  A state
+is thus kept as (the token that led there, the number of gadgets applied), and an arc is
+looked up by walking to the parts that a token had when it was added; looked-up arcs stay
+in a table.  A word has exactly one path whose arc labels spell it: the BPE segmentation.
+Encoding follows the longest arcs first and steps back where a path ends; decoding joins
+the arc labels.
+
+Defined results: a null text counts as empty and gives no ids and an empty string; marks
+of the start and end of text in a text are their own ids, as in the tokenizers library;
+further columns are not read, repeated rows give repeated results.
+"""
+
+from __future__ import annotations
+
+import json
+import unicodedata
+from functools import lru_cache, partial
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Distinct white-space-free chunks a worker remembers; then it starts anew.
+REMEMBERED = 150_000
+#: Arc lookups a worker remembers.
+ARCS = 1_000_000
+
+#: Fixed: white space that str.split() cuts at but the tokenizer's \s does not.
+_ODD_SPACE = regex.compile("[\x1c-\x1f]")
+_TRUE_SPACE = regex.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Automaton:
+    """The automaton of a list of merges over a vocabulary, with an optional end-of-word mark."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
+        self.ids, self.suffix = vocab, suffix
+        self.size = max(vocab.values(), default=-1) + 1
+        self.label = [""] * self.size
+        for text, i in vocab.items():
+            self.label[i] = text
+        self.born = [-1] * self.size
+        self.parts: list[tuple[int, int]] = [(-1, -1)] * self.size
+        self.gadget: dict[int, int] = {}
+        self.arcs: dict[int, bool] = {}
+        dead = set()
+        for r, (a, b) in enumerate(merges):
+            x, y, z = vocab[a], vocab[b], vocab[a + b]
+            # no path has b behind a any more, so this gadget finds no arcs and adds none
+            if x in dead or y in dead or not self._walk(x, y):
+                if self.born[z] < 0 and z not in dead:
+                    dead.add(z)
+                continue
+            dead.discard(z)
+            self.gadget[x * self.size + y] = r
+            if self.born[z] < 0:
+                self.born[z], self.parts[z] = r, (x, y)
+        self.arcs.clear()
+        self.start = {t: i for t, i in vocab.items() if i not in dead}
+        self.longest = max(map(len, self.start), default=0)
+
+    def _walk(self, p: int, t: int) -> bool:
+        """Is there an arc t in the state behind p?"""
+        bound, born = 1 << 60, self.born
+        while True:
+            r = self.gadget.get(p * self.size + t)
+            if r is not None and r < bound:
+                return False
+            if born[p] < 0 and born[t] < 0:
+                return True
+            if born[p] > born[t]:
+                # the state behind p is that behind its last part, just before p's own gadget
+                bound, p = born[p], self.parts[p][1]
+            else:
+                # arc t stands where its first part's arc stood, that gadget's own cut included
+                bound, t = born[t] + 1, self.parts[t][0]
+
+    def arc(self, p: int, t: int) -> bool:
+        key = p * self.size + t
+        got = self.arcs.get(key)
+        if got is None:
+            if len(self.arcs) >= ARCS:
+                self.arcs.clear()
+            got = self.arcs[key] = self._walk(p, t)
+        return got
+
+    def encode(self, word: str) -> list[int]:
+        """The ids along the one path that spells word and its end mark."""
+        ids, end, n = self.start, self.suffix, len(word)
+        if not n:
+            return []
+        whole = ids.get(word + end)
+        if whole is not None:
+            return [whole]
+        path, at, dead = [], 0, set()
+        length = min(n, self.longest)
+        while at < n:
+            last = path[-1][0] if path else -1
+            found = -1
+            while length:
+                piece = word[at : at + length]
+                i = ids.get(piece + end if at + length == n else piece, -1)
+                if i >= 0 and (at + length, i) not in dead and (last < 0 or self.arc(last, i)):
+                    found = i
+                    break
+                length -= 1
+            if found >= 0:
+                path.append((found, length))
+                at += length
+                length = min(n - at, self.longest)
+            elif path:
+                i, length = path.pop()
+                dead.add((at, i))
+                at -= length
+                length -= 1
+            else:
+                raise ValueError("the vocabulary lacks a symbol of this word")
+        return [i for i, _ in path]
+
+
+class Tokenizer:
+    """Normalising, splitting and the automaton, as the tokenizer's file describes them."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.piece = regex.compile(split)
+        self.letters = _byte_letters()
+        self.known: dict[str, tuple[bytes, str]] = {}
+
+    def _chunk(self, chunk: str) -> tuple[bytes, str]:
+        ids: list[int] = []
+        for w in self.piece.findall(chunk):
+            ids += self.automaton.encode(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters))
+        label = self.automaton.label
+        got = np.array(ids, "<i4").tobytes(), " ".join(label[i] for i in ids)
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        if len(chunk) < 64:
+            self.known[chunk] = got
+        return got
+
+    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
+        chunks = _TRUE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
+        known, make = self.known, self._chunk
+        return [known.get(c) or make(c) for c in chunks if c]
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """(little-endian 32-bit ids, their labels joined by spaces)."""
+        if self.cut is None or not self.cut.search(text):
+            got = self._plain(text)
+        else:
+            got = []
+            for part in self.cut.split(text):
+                if part in self.special:
+                    got.append((np.int32(self.special[part]).tobytes(), part))
+                elif part:
+                    got += self._plain(part)
+        return b"".join(a for a, _ in got), " ".join(b for _, b in got if b)
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> Tokenizer:
+    return Tokenizer(path)
+
+
+def _encoded(batches, path: str, limit: int):
+    t = tokenizer(path)
+    for b in batches:
+        ids, texts = b.column("doc_id"), b.column("text")
+        lo = 0
+        while lo < len(texts):
+            packed, labels, size, hi = [], [], 0, lo
+            while hi < len(texts) and size < limit:
+                text = texts[hi].as_py() or ""
+                size += len(text)
+                x, y = t.encode(text)
+                packed.append(x)
+                labels.append(y)
+                hi += 1
+            count = np.array([len(x) // 4 for x in packed], np.int64)
+            at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(lo, hi - lo), pa.array(count), pa.ListArray.from_arrays(pa.array(at), values), pa.array(labels, pa.string())],
+                names=["doc_id", "n_tokens", "ids", "decoded"],
+            )
+            lo = hi
+
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 21) -> DataFrame:
+    """-> doc_id, n_tokens, ids array<int>, decoded: every whole text, encoded and decoded again."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(partial(_encoded, path=path, limit=batch_chars), "doc_id long, n_tokens long, ids array<int>, decoded string")
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and the decoded text."""
+    return encoded.select(
+        "doc_id", "n_tokens",
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -2,19 +2,133 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import setsketch
+from quillspark.llm import bitslice, bpe, egojoin, mixing, quality, secrets, setsketch, toxicity, urlfilter, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op3_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64.0)
+
+
+def op4_ego_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), share=1.5, most_epochs=2, weights=(3, 1, 2))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op8_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op10_setsketch_near_dedup,)}
+_ALL = (
+    op1_subsequence_toxicity, op2_subword_quality, op3_bitslice_topk, op4_ego_near_vectors, op5_bpe_automaton,
+    op6_weighted_mix, op7_url_filter, op8_longest_match_counts, op9_secret_battery, op10_setsketch_near_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_TOPK = """
+with v as (
+  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as q
+  from embeddings where embedding is not null and len(embedding) > 0
+), scored as (
+  select a.vec_id as query_id, b.vec_id as vec_id, cast(list_sum([x[1] * x[2] for x in list_zip(a.q, b.q)]) as bigint) as score
+  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from scored
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20
+"""
+
+_NEAR_VECTORS = """
+with recursive v as (
+  select vec_id, label, [cast(x as double) for x in embedding] as e
+  from embeddings where embedding is not null and label is not null
+), links as (
+  select a.vec_id as u, b.vec_id as w from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(node, to_node) as (
+  select vec_id, vec_id from embeddings union select r.node, l.w from reach r join links l on l.u = r.to_node
+), least as (select node, min(to_node) as component_id from reach group by node),
+counted as (select u, count(*) as n from links group by u)
+select e.vec_id, cast(coalesce(c.n, 0) as bigint) as n_links, l.component_id, e.vec_id = l.component_id as kept
+from embeddings e join least l on l.node = e.vec_id left join counted c on c.u = e.vec_id
+"""
+
+_MIX = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+    coalesce(greatest(0.05, length(translate(text, '*%$&#!|', '')) / greatest(length(text), 1)), 1.0) as quality,
+    (cast('0x' || substr(md5('mix' || cast(doc_id as varchar)), 1, 12) as bigint) + 0.5) / 281474976710656.0 as u
+  from documents
+), keyed as (select doc_id, source, size, -ln(u) / quality as key from d),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (
+  select source, source_size, 2.0 * source_size as cap,
+    [3.0, 1.0, 2.0][1 + (row_number() over (order by source nulls last) - 1) % 3]::double as weight from s
+), f as (select *, cap / weight as fill, sum(source_size) over () * 1.5 as total from w),
+l as (
+  select *, (total - coalesce(sum(cap) over (order by fill, source rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by fill, source rows between current row and unbounded following) as lv from f
+), m as (select *, max(case when lv <= fill then lv end) over () as level from l),
+t as (select source, source_size, least(cap, coalesce(level * weight, cap)) as target from m),
+e as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from t),
+c as (
+  select k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as rest,
+    coalesce(sum(k.size) over (partition by k.source order by k.key, k.doc_id, k.size rows between unbounded preceding and 1 preceding), 0) as before
+  from keyed k join e on k.source is not distinct from e.source
+)
+select doc_id, size::bigint as size, source_size, target,
+  (least(epochs + case when before + size / 2.0 <= rest then 1 else 0 end, 2) * size)::bigint as taken from c
+"""
+
+_NEAR_DOCS = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as t from documents
+), s as (
+  select doc_id, unnest(case when len(t) = 0 then [] when len(t) < 4 then [array_to_string(t, ' ')]
+    else list_distinct([array_to_string(t[i:i+3], ' ') for i in range(1, len(t) - 2)]) end) as g from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+b as (select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+half as (select u, v from b join n x on x.doc_id = b.u join n y on y.doc_id = b.v where 100 * c >= 80 * (x.n + y.n - c)),
+links as (select u, v from half union all select v, u from half),
+reach(node, other) as (select doc_id, doc_id from documents union select r.node, l.v from reach r join links l on l.u = r.other),
+least as (select node, min(other) as component_id from reach group by node)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, l.component_id, d.doc_id = l.component_id as kept
+from documents d join least l on l.node = d.doc_id left join n on n.doc_id = d.doc_id
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_bitslice_topk": _TOPK, "op4_ego_near_vectors": _NEAR_VECTORS, "op6_weighted_mix": _MIX, "op10_setsketch_near_dedup": _NEAR_DOCS,
+}
