@@ -8,8 +8,9 @@ shingle sets decide.
 
 Only connectivity is asked for, so copies are never paired with each other: documents
 with equal sets are one node; a bucket's nodes are compared with its hub first.  Nodes
-still in different components are compared further only if enough of their shingles
-occur in another such node, which bounds any intersection.  No bucket is capped: large
+still in different components are compared further only if they can have enough in
+common: what they have in common with the hub and what else of theirs occurs in another
+such node bound any intersection.  No bucket is capped: large
 ones retire some leaders a round until their nodes are one component or few enough to
 compare all.
 
@@ -135,17 +136,13 @@ def _likely(batches, percent: int):
         if not len(x):
             continue
         j = estimate(b.column("na").to_numpy(), b.column("nb").to_numpy(), (x > y).sum(1), (x == y).sum(1), (x < y).sum(1))
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(j >= percent / 100 - SLACK))
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"]).filter(pa.array(j >= percent / 100 - SLACK))
 
 
-def _linked(batches, percent: int):
+def _common(batches):
     for b in batches:
-        keep = []
-        for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            both = int(np.isin(x, y, assume_unique=True, kind="sort").sum())
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        both = [int(np.isin(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), assume_unique=True, kind="sort").sum()) for pair in zip(b.column("sa"), b.column("sb"), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("na"), b.column("nb"), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
 
 
 def _bounded(ids: DataFrame) -> DataFrame:
@@ -154,7 +151,7 @@ def _bounded(ids: DataFrame) -> DataFrame:
 
 
 class _Compare:
-    """Links among candidate pairs: sizes and register likelihood first, then the full sets."""
+    """Candidate pairs by sizes and register likelihood, then by their full sets: (a, b, both, linked) of the likely ones."""
 
     def __init__(self, reps: DataFrame, sets: DataFrame, percent: int):
         self.reps, self.sets, self.percent = reps, sets, percent
@@ -162,10 +159,11 @@ class _Compare:
     def __call__(self, pairs: DataFrame) -> DataFrame:
         side = lambda s, t: self.reps.select(F.col("rep").alias(s), F.col("n").alias(f"n{t}"), F.col("regs").alias(f"r{t}"))
         close = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        likely = staged(close.mapInArrow(partial(_likely, percent=self.percent), "a long, b long").distinct())
+        likely = staged(close.mapInArrow(partial(_likely, percent=self.percent), "a long, b long, na long, nb long").distinct())
         full = lambda s: self.sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
-        both = full("a").join(_bounded(likely), "a").join(full("b"), "b").select("a", "b", "sa", "sb")
-        return both.mapInArrow(partial(_linked, percent=self.percent), "a long, b long")
+        both = full("a").join(_bounded(likely), "a").join(full("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        found = both.mapInArrow(_common, "a long, b long, na long, nb long, both long")
+        return staged(found.select("a", "b", "both", F.expr(f"100 * both >= {self.percent} * (na + nb - both)").alias("linked")))
 
 
 def _exploded(batches):
@@ -211,20 +209,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     met = live.join(met, "rep")
     hubs = met.groupBy("key").agg(F.max(F.struct("met", -F.col("rep"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
     pairs = staged(live.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    links = staged(compare(pairs).toDF("u", "v"))
-    labels = staged(connected_components(links))
+    told = compare(pairs)
+    links = lambda told: told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = staged(connected_components(links(told)))
     named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    named = staged(named.join(split, "key").join(hubs, "key").where("rep <> a").select("key", "rep", "c"))
-    shared = _shared(sets, staged(named.select(F.col("rep").alias("node")).distinct()))
+    named = named.join(split, "key").join(hubs, "key").where("rep <> a").select("key", "rep", "c", "a")
+    named = staged(named.join(told.groupBy("a", F.col("b").alias("rep")).agg(F.max("both").alias("i")), ["a", "rep"], "left"))
+    shared = _shared(sets, staged(named.select(F.col("rep").alias("node")).union(named.select("a")).distinct()))
     sizes = reps.groupBy("rep").agg(F.max("n").alias("n"))
     live = staged(
-        named.join(shared, named.rep == shared.node).join(sizes, "rep").where(f"10000 * shared >= {percent} * 100 * n")
-        .select("key", "rep", "n", "shared")
+        named.join(shared, named.rep == shared.node).join(sizes, "rep").where(f"100 * shared >= {percent} * n")
+        .select("key", "rep", "n", "shared", "i")
     )
-    fits = f"(100 + {percent}) * least(x.shared, y.shared) >= {percent} * (x.n + y.n)"
+    # What x and y have in common lies within the bucket's hub, at most the lesser of what they have in common with it,
+    # or outside, at most the lesser of what others share of them there.
+    most = "coalesce(least(x.i, y.i) + least(x.shared - x.i, y.shared - y.i), least(x.shared, y.shared))"
+    fits = f"(100 + {percent}) * {most} >= {percent} * (x.n + y.n) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     while True:
-        named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", "n", "shared", F.coalesce("component", "rep").alias("c"))
+        named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", "n", "shared", "i", F.coalesce("component", "rep").alias("c"))
         split = named.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
         held = Staged(named.join(split, "key").drop("lo", "hi"))
         if held.df.isEmpty():
@@ -235,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         turn = Window.partitionBy("key").orderBy("of_c", "rep")
         leaders = staged(sized.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= LEADERS).drop("turn", "of_c", "size"))
         pairs = pairs.union(large.alias("x").join(leaders.alias("y"), "key").where("x.c <> y.c").where(fits).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")))
-        found = staged(compare(_ordered(pairs)).toDF("u", "v"))
+        found = links(compare(_ordered(pairs)))
         if not found.isEmpty():
             labels = staged(connected_components(found.union(labels.select("node", "component"))))
         live = staged(large.drop("c", "size").join(leaders.select("key", "rep"), ["key", "rep"], "left_anti"))
