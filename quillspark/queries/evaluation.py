@@ -1,0 +1 @@
+"""To come."""
