@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from functools import lru_cache, partial
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct white-space-free chunks a worker remembers; then it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Arc lookups a worker remembers.
 ARCS = 1_000_000
 
@@ -70,7 +71,27 @@ class Automaton:
                 self.born[z], self.parts[z] = r, (x, y)
         self.arcs.clear()
         self.start = {t: i for t, i in vocab.items() if i not in dead}
-        self.longest = max(map(len, self.start), default=0)
+        # a trie of the labels: from any place in a word, all arcs that may come next, the longest last
+        self.next: list[dict[str, int]] = [{}]
+        self.inner, self.final, self.length = [-1], [-1], [0] * self.size
+        for text, i in self.start.items():
+            ends = bool(suffix) and text.endswith(suffix)
+            own = text.removesuffix(suffix) if ends else text
+            at = 0
+            for c in own:
+                to = self.next[at].get(c)
+                if to is None:
+                    to = self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.inner.append(-1)
+                    self.final.append(-1)
+                at = to
+            self.length[i] = len(own)
+            if ends or not suffix:
+                self.final[at] = i
+            if not ends:
+                self.inner[at] = i
+        self.deepest = max(self.length, default=0)
 
     def _walk(self, p: int, t: int) -> bool:
         """Is there an arc t in the state behind p?"""
@@ -97,38 +118,58 @@ class Automaton:
             got = self.arcs[key] = self._walk(p, t)
         return got
 
+    def _options(self, word: str, at: int) -> list[int]:
+        """Arcs that spell a part of the word from a place on, shortest first; only the last one may carry the end mark."""
+        node, out, step, inner = 0, [], self.next, self.inner
+        stop = min(len(word) - 1, at + self.deepest)
+        for c in word[at:stop]:
+            to = step[node].get(c)
+            if to is None:
+                return out
+            node = to
+            if inner[node] >= 0:
+                out.append(inner[node])
+        if stop == len(word) - 1:
+            to = step[node].get(word[-1])
+            if to is not None and self.final[to] >= 0:
+                out.append(self.final[to])
+        return out
+
     def encode(self, word: str) -> list[int]:
         """The ids along the one path that spells word and its end mark."""
-        ids, end, n = self.start, self.suffix, len(word)
-        if not n:
-            return []
-        whole = ids.get(word + end)
+        whole = self.start.get(word + self.suffix)
         if whole is not None:
             return [whole]
-        path, at, dead = [], 0, set()
-        length = min(n, self.longest)
-        while at < n:
-            last = path[-1][0] if path else -1
-            found = -1
-            while length:
-                piece = word[at : at + length]
-                i = ids.get(piece + end if at + length == n else piece, -1)
-                if i >= 0 and (at + length, i) not in dead and (last < 0 or self.arc(last, i)):
-                    found = i
+        if not word:
+            return []
+        n, at, last, arcs, size = len(word), 0, -1, self.arcs, self.size
+        path: list[int] = []
+        waiting, dead = [self._options(word, 0)], set()
+        while True:
+            options = waiting[-1]
+            while options:
+                i = options.pop()
+                if last >= 0:
+                    there = arcs.get(last * size + i)
+                    if not (self.arc(last, i) if there is None else there):
+                        continue
+                if (at, i) not in dead:
                     break
-                length -= 1
-            if found >= 0:
-                path.append((found, length))
-                at += length
-                length = min(n - at, self.longest)
-            elif path:
-                i, length = path.pop()
-                dead.add((at, i))
-                at -= length
-                length -= 1
             else:
-                raise ValueError("the vocabulary lacks a symbol of this word")
-        return [i for i, _ in path]
+                if not path:
+                    raise ValueError("the vocabulary lacks a symbol of this word")
+                waiting.pop()
+                i = path.pop()
+                at -= self.length[i]
+                dead.add((at, i))
+                last = path[-1] if path else -1
+                continue
+            path.append(i)
+            at += self.length[i]
+            if at == n:
+                return path
+            last = i
+            waiting.append(self._options(word, at))
 
 
 class Tokenizer:
@@ -149,10 +190,12 @@ class Tokenizer:
 
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         ids: list[int] = []
-        for w in self.piece.findall(chunk):
+        # letters, or letters with one mark behind, need no pattern to be split
+        pieces = [chunk] if chunk.isalpha() else [chunk[:-1], chunk[-1]] if chunk[-1] in ".,!?" and chunk[:-1].isalpha() else self.piece.findall(chunk)
+        for w in pieces:
             ids += self.automaton.encode(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters))
         label = self.automaton.label
-        got = np.array(ids, "<i4").tobytes(), " ".join(label[i] for i in ids)
+        got = array("i", ids).tobytes(), " ".join(label[i] for i in ids)
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         if len(chunk) < 64:
