@@ -1 +1,185 @@
-"""To come."""
+"""Queries of measurement: question sets, recall, latency, usage."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.operators import evaluation as V
+from quillspark.operators import retrieval as R
+from quillspark.queries.fixtures import fixture, table
+from quillspark.queries.registry import query
+
+_CALL = "case when conv_id % 3 = 0 and turn = 0 then concat(text, ' ; kb get x && my-kb put y ; kb search z') when conv_id % 5 = 0 then concat(text, ' kb put q <system-reminder> kb get r </system-reminder>') else text end"
+
+
+def _raw(spark, d):
+    q = fixture(spark, d, "fx_questions").groupBy("question_id").agg(F.first("query").alias("query"), F.collect_list("expected").alias("ids"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
+    rows = b.join(q.drop("query"), "question_id", "left")
+    none = F.array(F.struct(F.when(F.col("question_id") % 7 != 0, "absent").alias("node_id"), F.lit(None).cast("string").alias("title_regex"), F.lit("other").alias("corpus")))
+    expect = F.when(F.col("ids").isNotNull(), F.transform("ids", lambda i: F.struct(i.alias("node_id"), F.lit(None).cast("string").alias("title_regex"), F.lit(None).cast("string").alias("corpus")))).otherwise(none)
+    return rows.select("question_id", "query", F.when(F.col("question_id") % 2 == 0, "even").otherwise("odd").alias("population"), expect.alias("expect"))
+
+
+_EXPECT = """x as (select question_id, expected as node_id, 'kb' as corpus from fx_questions union all
+  select item_id, 'absent', 'other' from benchmark where item_id % 7 <> 0 and item_id not in (select question_id from fx_questions)),
+  qs as (select item_id as question_id, text as query, case when item_id % 2 = 0 then 'even' else 'odd' end as population from benchmark where item_id in (select question_id from x))"""
+# hits: the texts that hold a question's expected documents' first words, ranked by id; a plain stand-in for a search
+_HITS = """hits as (select b.item_id as question_id, 'kb' as corpus, r.record_id, r.title, row_number() over (partition by b.item_id order by d.doc_id) as rank, 1.0 / (1 + d.doc_id % 10) as similarity
+  from benchmark b join documents d on d.doc_id % 20 = b.item_id % 20 or strpos(d.text, substring(split_part(b.text, chr(10), 1), 1, 60)) > 0 join fx_records r on r.record_id = concat('doc-', d.doc_id)
+  qualify row_number() over (partition by b.item_id order by d.doc_id) <= 30)"""
+
+
+def _hits(spark, d):
+    b, docs, r = table(spark, d, "benchmark"), table(spark, d, "documents"), fixture(spark, d, "fx_records").select("record_id", "title")
+    near = b.select("item_id", (F.col("item_id") % 20).alias("k")).join(docs.select("doc_id", (F.col("doc_id") % 20).alias("k")), "k").select("item_id", "doc_id")
+    hold = fixture(spark, d, "fx_questions").select(F.col("question_id").alias("item_id"), F.substring("expected", 5, 20).cast("long").alias("doc_id"))
+    pairs = near.union(hold).distinct().withColumn("record_id", F.concat(F.lit("doc-"), F.col("doc_id"))).join(r, "record_id")
+    ranked = R.signal_rank(pairs.select(F.col("item_id").alias("query_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("record_id"), F.lit(0.0).alias("score"), "doc_id", "title"), 30)
+    return ranked.select(F.col("query_id").alias("question_id"), F.lit("kb").alias("corpus"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("record_id"), "title", F.col("rank").cast("long").alias("rank"), (1.0 / (1 + F.col("doc_id") % 10)).alias("similarity"))
+
+
+@query(f"with {_EXPECT} select question_id, node_id, corpus, null as title_regex from x")
+def load_questions(spark, d):
+    return V.load_questions(_raw(spark, d))[1]
+
+
+@query(f"with {_EXPECT} select question_id, case when min(corpus) = max(corpus) then min(corpus) else 'mixed' end as corpus from x group by 1")
+def corpus_questions(spark, d):
+    return V.corpus_questions(V.load_questions(_raw(spark, d))[1])
+
+
+@query(f"with {_EXPECT}, {_HITS} select distinct h.question_id, h.corpus, h.record_id, h.title, h.rank, h.similarity::double as similarity from hits h join x on x.question_id = h.question_id and x.corpus = h.corpus and x.node_id = h.record_id")
+def match_expectations(spark, d):
+    return V.match_expectations(_hits(spark, d), V.load_questions(_raw(spark, d))[1])
+
+
+_SCORED = f"""{_EXPECT}, {_HITS}, m as (select distinct h.* from hits h join x on x.question_id = h.question_id and x.corpus = h.corpus and x.node_id = h.record_id),
+  sq as (select q.question_id, q.population, b.best_rank, b.hit_id, b.hit_similarity, coalesce(s.candidates, 0) as candidates, s.max_similarity, coalesce(s.candidates, 0) >= 30 as saturated from qs q
+    left join (select question_id, min(rank) as best_rank, arg_min(record_id, rank) as hit_id, arg_min(similarity, rank) as hit_similarity from m group by 1) b using (question_id)
+    left join (select question_id, count(*) as candidates, max(similarity) as max_similarity from hits group by 1) s using (question_id))"""
+_MEASURES = """count(*) as questions, avg((coalesce(best_rank <= 5, false))::int) as recall_5, avg((coalesce(best_rank <= 10, false))::int) as recall_10, round(avg(coalesce(1.0 / best_rank, 0)), 6) as mrr,
+  round(avg(candidates), 6) as mean_candidates, median(candidates) as median_candidates, min(candidates) as min_candidates, max(candidates) as max_candidates, count_if(saturated) as saturated, round(avg(hit_similarity), 6) as mean_hit_similarity, count_if(best_rank is null) as misses"""
+
+
+def _scored(spark, d):
+    questions, expect, _ = V.load_questions(_raw(spark, d))
+    hits = _hits(spark, d)
+    return V.score_questions(questions, hits, V.match_expectations(hits, expect), 30)
+
+
+def _rounded(df):
+    for c in ("recall_5", "recall_10", "mrr", "mean_candidates", "mean_hit_similarity"):
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+@query(f"with {_SCORED} select question_id, population, best_rank, hit_id, hit_similarity::double as hit_similarity, candidates, max_similarity::double as max_similarity, saturated from sq")
+def score_questions(spark, d):
+    return _scored(spark, d).drop("query")
+
+
+@query(f"with {_SCORED} select {_MEASURES} from sq")
+def eval_aggregate(spark, d):
+    return _rounded(V.eval_aggregate(_scored(spark, d)))
+
+
+@query(f"with {_SCORED}, c as (select question_id, case when min(corpus) = max(corpus) then min(corpus) else 'mixed' end as corpus from x group by 1) select corpus, population, {_MEASURES} from sq join c using (question_id) group by grouping sets ((), (corpus), (population))")
+def eval_breakdown(spark, d):
+    return _rounded(V.eval_breakdown(_scored(spark, d).join(V.corpus_questions(V.load_questions(_raw(spark, d))[1]), "question_id")))
+
+
+@query(f"with {_SCORED} select 0 as sweep, {_MEASURES} from sq union all select 1 as sweep, {_MEASURES} from (select * replace (case when best_rank <= 8 then best_rank end as best_rank, case when best_rank <= 8 then hit_similarity end as hit_similarity, least(candidates, 8) as candidates, false as saturated) from sq)")
+def evaluate(spark, d):
+    questions, expect, _ = V.load_questions(_raw(spark, d))
+
+    def search(asked, most):
+        return _hits(spark, d).where(F.col("rank") <= most)
+
+    return _rounded(V.evaluate(questions, expect, search, [{"most": 30}, {"most": 8}], limit=30))
+
+
+@query(f"with {_EXPECT}, {_HITS}, t as (select *, case when rank % 2 = 0 then 'lexical' else 'dense' end as stage from hits) select t.question_id, stage, count(*) as candidates, min(case when q.expected is not null then rank end) as expected_rank from t left join fx_questions q on q.question_id = t.question_id and q.expected = t.record_id group by 1, 2")
+def signal_contributions(spark, d):
+    trace = _hits(spark, d).withColumn("stage", F.when(F.col("rank") % 2 == 0, "lexical").otherwise("dense"))
+    return V.signal_contributions(trace, fixture(spark, d, "fx_questions").select("question_id", F.col("expected").alias("record_id")))
+
+
+@query(f"with {_EXPECT} select node_id as record_id, question_id from x where node_id not in (select record_id from fx_records)")
+def verify_expected(spark, d):
+    e = V.load_questions(_raw(spark, d))[1].select(F.col("node_id").alias("record_id"), "question_id")
+    return V.verify_expected(e, fixture(spark, d, "fx_records"))
+
+
+@query("select expected as record_id, min(question_id) as first from fx_questions group by 1")
+def expected_ids(spark, d):
+    return V.expected_ids(fixture(spark, d, "fx_questions").select("question_id", F.col("expected").alias("record_id")))
+
+
+_LAT = "count(*) as n, round(quantile_cont(latency_ms, 0.5), 6) as p50, round(quantile_cont(latency_ms, 0.95), 6) as p95, max(latency_ms) as max_ms, round(avg(latency_ms), 6) as mean_ms"
+
+
+@query(f"select condition, clients, {_LAT} from fx_outcomes group by 1, 2")
+def latency_stats(spark, d):
+    got = V.latency_stats(fixture(spark, d, "fx_outcomes"), "condition", "clients")
+    return got.select("condition", "clients", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "max_ms", F.round("mean_ms", 6).alias("mean_ms"))
+
+
+@query("""with c as (select condition, clients, quantile_cont(latency_ms, 0.95) as p95 from fx_outcomes group by 1, 2), r as (select clients, max(p95) filter (condition = 'idle') as idle_p95, max(p95) filter (condition <> 'idle') as loaded_p95 from c group by 1)
+  select clients, round(idle_p95, 6) as idle_p95, round(loaded_p95, 6) as loaded_p95, loaded_p95 <= 2 * idle_p95 as load_ok, idle_p95 < 300 as dense_ok from r""")
+def verdict(spark, d):
+    return V.verdict(fixture(spark, d, "fx_outcomes")).withColumn("idle_p95", F.round("idle_p95", 6)).withColumn("loaded_p95", F.round("loaded_p95", 6))
+
+
+@query("""select v.variant, c.condition, n.clients, p.pass, count(o.event_id) as n from (values ('a'), ('b')) v(variant), (values ('idle'), ('ingest'), ('reindex')) c(condition), (values (1), (4), (8)) n(clients), (values (1), (2)) p(pass)
+  left join fx_outcomes o on o.condition = c.condition and o.clients = n.clients group by all""")
+def cells(spark, d):
+    c = V.cells(spark, ["a", "b"], ["idle", "ingest", "reindex"], [1, 4, 8], 2)
+    n = fixture(spark, d, "fx_outcomes").groupBy("condition", "clients").agg(F.count("event_id").alias("n"))
+    return c.join(n, ["condition", "clients"], "left").withColumn("n", F.coalesce("n", F.lit(0))).select("variant", "condition", "clients", "pass", "n")
+
+
+@query("with o as (select record_id, row_number() over (order by record_id) - 1 as pos, count(*) over () as n from fx_records) select i.i, o.record_id from (select unnest(range(40))::int as i) i join o on o.pos = (3 * 7919 + i.i * 104729) % o.n")
+def stride_sample(spark, d):
+    return V.stride_sample(fixture(spark, d, "fx_records"), 40, 3)
+
+
+def _usage(spark, d):
+    c = spark.sql(f"select conv_id, turn, role, {_CALL} as t from {{c}}", c=table(spark, d, "conversations"))
+    return c.select("conv_id", "turn", "role", "t", T.usage_calls(T.without_reminders(F.col("t")), "kb", ("get", "search", "put")).alias("calls"), T.mentions(F.col("t"), "kb").alias("mention"))
+
+
+_CALLS = "case when conv_id % 3 = 0 and turn = 0 then ['get', 'search'] when conv_id % 5 = 0 then ['put'] else [] end"
+
+
+@query(f"select conv_id, turn, {_CALLS}::varchar[] as calls, len({_CALLS}) > 0 as mention from conversations")
+def usage_calls(spark, d):
+    return _usage(spark, d).select("conv_id", "turn", "calls", "mention")
+
+
+@query(f"select conv_id, turn, len({_CALLS}) > 0 as mention from conversations")
+def mentions(spark, d):
+    return _usage(spark, d).select("conv_id", "turn", "mention")
+
+
+def _flags(spark, d):
+    u = _usage(spark, d)
+    events = u.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.arrays_overlap("calls", F.array(F.lit("get"), F.lit("search"))).alias("read"), F.array_contains("calls", "put").alias("write"), F.when(F.col("conv_id") % 4 != 1, F.col("mention")).alias("mention"), F.when(F.col("turn") > 0, F.col("role")).alias("cwd"))
+    return V.session_flags(events)
+
+
+_FLAGS = f"""f as (select conv_id as session, bool_or(list_has_any({_CALLS}, ['get', 'search'])) as read, bool_or(list_contains({_CALLS}, 'put')) as write,
+  bool_or(case when conv_id % 4 <> 1 then len({_CALLS}) > 0 end) as mention, arg_min(case when turn > 0 then role end, case when turn > 0 then turn end) as cwd from conversations group by 1)"""
+
+
+@query(f"with {_FLAGS} select * from f")
+def session_flags(spark, d):
+    return _flags(spark, d)
+
+
+@query(f"""with {_FLAGS} select 'src' || (session % 2) as source, coalesce(cwd, '-') as project, grouping(coalesce(cwd, '-'))::int as all_projects, count(*) as sessions, count_if(read) as with_read, count_if(write) as with_write, count_if(read and mention) as read_mentioned
+  from f group by grouping sets (('src' || (session % 2)), ('src' || (session % 2), coalesce(cwd, '-')))""")
+def usage_counts(spark, d):
+    f = _flags(spark, d).select(F.concat(F.lit("src"), F.col("session") % 2).alias("source"), F.coalesce("cwd", F.lit("-")).alias("project"), "read", "write", "mention")
+    return V.usage_counts(f).withColumn("all_projects", F.col("all_projects").cast("int"))
