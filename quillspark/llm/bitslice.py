@@ -179,7 +179,7 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -
     index = rows.withColumn("block", spread(blocks, 1)).groupBy("dims", "block").applyInArrow(lambda t: _packed(t, "block"), schema.format("block"))
     query = rows.where(F.col("vec_id") % every == 0).withColumn("asked", spread(asked, 2))
     query = query.groupBy("dims", "asked").applyInArrow(lambda t: _packed(t, "asked"), schema.format("asked"))
-    pairs = index.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).cast("long")).join(query, ["dims", "asked"])
+    pairs = index.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long")))).join(query, ["dims", "asked"])
     best = pairs.groupBy("dims", "block", "asked").applyInArrow(lambda t: _pair(t, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -39,7 +39,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 SLACK = 5 * np.sqrt(0.8 * 0.2 / REGISTERS)
 #: Buckets up to this many nodes compare all pairs that are not yet in one component.
 SMALL = 48
-LEADERS = 16
+LEADERS = 64
 #: Ids or pairs up to this many (16 bytes each) are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -173,11 +173,23 @@ def _exploded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(h)], names=["node", "h"])
 
 
-def _shared(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shared): how many of a node's shingles another of the nodes has too; no link can have a larger intersection."""
+def _common_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, h): the shingles of these nodes that another of them has too; only such can be in an intersection."""
     rows = sets.join(_bounded(nodes), "node", "left_semi").mapInArrow(_exploded, "node long, h long")
     common = rows.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("h")
-    return rows.join(common, "h").groupBy("node").agg(F.count("*").alias("shared"))
+    return rows.join(common, "h")
+
+
+def _met_outside(shingles: DataFrame, nodes: DataFrame, fits: str) -> DataFrame:
+    """nodes(rep, n, shared, hub, i, c) -> pairs (a, b) near one hub, in different components, that share a shingle the hub lacks."""
+    own = nodes.where("hub is not null")
+    of_hub = shingles.join(own.select(F.col("hub").alias("node")).distinct(), "node").select(F.col("node").alias("hub"), "h").distinct()
+    rows = shingles.join(own.withColumnRenamed("rep", "node"), "node").join(of_hub, ["hub", "h"], "left_anti")
+    # shingles that all nodes having them already have in one component need no pairs
+    split = rows.groupBy("hub", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub", "h")
+    rows = rows.join(split, ["hub", "h"]).withColumnRenamed("node", "rep")
+    both = rows.alias("x").join(rows.alias("y"), ["hub", "h"]).where("x.rep < y.rep and x.c <> y.c").where(fits)
+    return both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -215,21 +227,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     named = named.join(split, "key").join(hubs, "key").where("rep <> a").select("key", "rep", "c", "a")
-    named = staged(named.join(told.groupBy("a", F.col("b").alias("rep")).agg(F.max("both").alias("i")), ["a", "rep"], "left"))
-    shared = _shared(sets, staged(named.select(F.col("rep").alias("node")).union(named.select("a")).distinct()))
+    nearest = told.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("both", "a")).alias("x")).select("rep", F.col("x.a").alias("hub"), F.col("x.both").alias("i"))
+    named = staged(named.join(nearest, "rep", "left"))
+    shingles = staged(_common_shingles(sets, staged(named.select(F.col("rep").alias("node")).union(named.select("a")).union(named.where("hub is not null").select("hub")).distinct())))
+    shared = shingles.groupBy("node").agg(F.count("*").alias("shared"))
     sizes = reps.groupBy("rep").agg(F.max("n").alias("n"))
     live = staged(
         named.join(shared, named.rep == shared.node).join(sizes, "rep").where(f"100 * shared >= {percent} * n")
-        .select("key", "rep", "n", "shared", "i")
+        .select("key", "rep", "n", "shared", "hub", "i")
     )
-    # What x and y have in common lies within the bucket's hub, at most the lesser of what they have in common with it,
-    # or outside, at most the lesser of what others share of them there.
-    most = "coalesce(least(x.i, y.i) + least(x.shared - x.i, y.shared - y.i), least(x.shared, y.shared))"
-    fits = f"(100 + {percent}) * {most} >= {percent} * (x.n + y.n) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    # What two nodes have in common lies within a hub near to both, at most the lesser of what each has in common with it,
+    # or outside, at most the lesser of what others share of them there.  Nodes near one hub that cannot link by the hub's
+    # shingles alone share one that the hub lacks, and are looked for by it; all others are compared within their buckets.
+    sizes_fit = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    bound = lambda most: f"(100 + {percent}) * ({most}) >= {percent} * (x.n + y.n) and {sizes_fit}"
+    fits = bound("case when x.hub = y.hub then least(x.i, y.i) else least(x.shared, y.shared) end")
+    nodes = live.select("rep", "n", "shared", "hub", "i").distinct().join(labels, F.col("rep") == labels.node, "left").select("rep", "n", "shared", "hub", "i", F.coalesce("component", "rep").alias("c"))
+    pairs = _met_outside(shingles, staged(nodes), bound("least(x.i, y.i) + least(x.shared - x.i, y.shared - y.i)"))
+    found = links(compare(_ordered(pairs)))
+    if not found.isEmpty():
+        labels = staged(connected_components(found.union(labels.select("node", "component"))))
+    reaches = f"(100 + {percent}) * shared >= {percent} * (n + greatest(least_n, {percent} * n / 100))"
     while True:
-        named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", "n", "shared", "i", F.coalesce("component", "rep").alias("c"))
-        split = named.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        held = Staged(named.join(split, "key").drop("lo", "hi"))
+        named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", "n", "shared", "hub", "i", F.coalesce("component", "rep").alias("c"))
+        split = named.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where("lo < hi")
+        held = Staged(named.join(split, "key").where(reaches).drop("lo", "hi", "least_n"))
         if held.df.isEmpty():
             break
         small, large = held.df.where(F.col("size") <= SMALL), held.df.where(F.col("size") > SMALL)
