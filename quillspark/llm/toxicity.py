@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.buffers import SPACE, texts
 
 #: Bounds: labelled documents the machine is trained on, landmarks, negative segments.
-SAMPLE, LANDMARKS, NEGATIVES, ROUNDS = 3000, 192, 20_000, 3
+SAMPLE, LANDMARKS, NEGATIVES, ROUNDS = 3000, 160, 8_000, 3
 GAP = 0.5
 #: Share of toxic documents that a segment must occur in, and no clean one, to be taken as a witness from the start.
 SURE = 0.03
@@ -119,13 +119,15 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel values of words with landmarks."""
     w, code, v = features(words)
     lw, lcode, lv = features(landmarks)
-    table = np.zeros((len(landmarks), A**3), np.float32)
-    table[lw, lcode] = lv
-    table /= np.maximum(1e-9, np.sqrt((table * table).sum(1)))[:, None]
     norm = np.sqrt(np.maximum(1e-9, np.bincount(w, v * v, len(words))))
-    out = np.zeros((len(words), len(landmarks)))
+    own = np.sqrt(np.maximum(1e-9, np.bincount(lw, lv * lv, len(landmarks))))
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    table = np.zeros(A**3)  # one landmark at a time: a table of all would be large
     for j in range(len(landmarks)):
-        out[:, j] = np.bincount(w, v * table[j, code], len(words))
+        mine = lw == j
+        table[lcode[mine]] = lv[mine]
+        out[:, j] = np.bincount(w, v * table[code], len(words)) / own[j]
+        table[lcode[mine]] = 0
     return out / norm[:, None]
 
 
