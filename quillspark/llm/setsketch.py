@@ -217,9 +217,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     compare = _Compare(reps, sets, percent)
 
     # The node that meets most others leads each of its buckets: copies are near their original more often than near each other.
-    met = live.groupBy("rep").agg(F.sum("size").alias("met"))
-    met = live.join(met, "rep")
-    hubs = met.groupBy("key").agg(F.max(F.struct("met", -F.col("rep"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
+    met = staged(live.groupBy("rep").agg(F.sum("size").alias("met")))
+    hubs = live.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", -F.col("rep"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
     pairs = staged(live.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
     told = compare(pairs)
     links = lambda told: told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -227,7 +226,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     named = named.join(split, "key").join(hubs, "key").where("rep <> a").select("key", "rep", "c", "a")
-    nearest = told.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("both", "a")).alias("x")).select("rep", F.col("x.a").alias("hub"), F.col("x.both").alias("i"))
+    # Hubs of one component stand for one original: its nodes are also held against the hub that meets most.
+    chief = hubs.select("a").distinct().join(met, F.col("a") == met.rep).join(labels, F.col("a") == labels.node, "left").select("a", "met", F.coalesce("component", "a").alias("c"))
+    chiefs = chief.groupBy("c").agg(F.max_by("a", F.struct("met", "a")).alias("chief"))
+    chief = staged(chief.join(chiefs, "c").select("a", "chief"))
+    more = told.join(chief, "a").where("chief <> a and chief <> b").select(F.col("chief").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    told = told.unionByName(compare(more))
+    labels = staged(connected_components(links(told)))
+    nearest = told.join(chief, "a").groupBy(F.col("b").alias("rep")).agg(F.max(F.struct((F.col("a") == F.col("chief")).alias("first"), "both", "a")).alias("x"))
+    nearest = nearest.select("rep", F.col("x.a").alias("hub"), F.col("x.both").alias("i"))
+    # a hub that was held against no other is nearest to itself
+    alone = hubs.select(F.col("a").alias("rep")).distinct().join(nearest.select("rep"), "rep", "left_anti").join(reps.groupBy("rep").agg(F.max("n").alias("i")), "rep")
+    nearest = nearest.unionByName(alone.select("rep", F.col("rep").alias("hub"), "i"))
     named = staged(named.join(nearest, "rep", "left"))
     shingles = staged(_common_shingles(sets, staged(named.select(F.col("rep").alias("node")).union(named.select("a")).union(named.where("hub is not null").select("hub")).distinct())))
     shared = shingles.groupBy("node").agg(F.count("*").alias("shared"))
