@@ -9,7 +9,8 @@ from quillspark.operators import maintenance
 from quillspark.queries.fixtures import fixture
 from quillspark.queries.registry import query
 
-_NO_REFS = F.array().cast("array<string>")
+def _no_refs():
+    return F.array().cast("array<string>")
 
 
 def _m(spark, d):
@@ -56,7 +57,7 @@ def mail_scope(spark, d):
 
 @query("select m.message_id as u, m.in_reply_to as v from fx_messages m join fx_messages p on p.message_id = m.in_reply_to")
 def thread_edges(spark, d):
-    return M.thread_edges(_m(spark, d).withColumn("refs", _NO_REFS))
+    return M.thread_edges(_m(spark, d).withColumn("refs", _no_refs()))
 
 
 _TH = """e as (select m.message_id as u, m.in_reply_to as v from fx_messages m join fx_messages p on p.message_id = m.in_reply_to), e2 as (select u, v from e union select v, u from e),
@@ -65,12 +66,12 @@ _TH = """e as (select m.message_id as u, m.in_reply_to as v from fx_messages m j
 
 @query(f"with recursive {_TH} select * from th")
 def threads(spark, d):
-    return M.threads(_m(spark, d).withColumn("refs", _NO_REFS))
+    return M.threads(_m(spark, d).withColumn("refs", _no_refs()))
 
 
 def _members(spark, d):
     m = _m(spark, d)
-    return M.threads(m.withColumn("refs", _NO_REFS)).join(m.select("message_id", "epoch", "sender", "body"), "message_id")
+    return M.threads(m.withColumn("refs", _no_refs())).join(m.select("message_id", "epoch", "sender", "body"), "message_id")
 
 
 @query(f"with recursive {_TH} select thread_id, message_id, row_number() over w as position, first(message_id) over w as root from th join fx_messages using (message_id) window w as (partition by thread_id order by epoch, message_id)")
@@ -85,12 +86,12 @@ def thread_records(spark, d):
 
 @query("select distinct message_id from (select unnest([message_id, in_reply_to]) as message_id from fx_messages where sender = 'assistant') where message_id <> ''")
 def joined_threads(spark, d):
-    return M.joined_threads(_m(spark, d).withColumn("refs", _NO_REFS), F.col("sender") == "assistant")
+    return M.joined_threads(_m(spark, d).withColumn("refs", _no_refs()), F.col("sender") == "assistant")
 
 
 @query("select message_id from fx_messages where sender <> 'assistant' and (string_split(raw, chr(10)))[2] = 'List-Id: x' and message_id in (select unnest([message_id, in_reply_to]) from fx_messages where sender = 'assistant')")
 def disputed_bulk(spark, d):
-    return M.disputed_bulk(M.bulk(_m(spark, d)).withColumn("refs", _NO_REFS), F.col("sender") == "assistant")
+    return M.disputed_bulk(M.bulk(_m(spark, d)).withColumn("refs", _no_refs()), F.col("sender") == "assistant")
 
 
 _SAMPLE = """sa as (select message_id, epoch % 5 as year, md5(message_id || ':7') as key, row_number() over (partition by epoch % 5 order by md5(message_id || ':7'), message_id) as r from fx_messages),
@@ -121,6 +122,6 @@ def rebuild_mail(spark, d):
     kept = m.join(chosen, "message_id", "left_semi")
     parsed = parse(kept.select(F.col("message_id").alias("locator"), F.col("raw").cast("binary").alias("content")))
     single = parsed.join(kept.select(F.col("message_id").alias("locator"), "epoch", "in_reply_to").withColumnRenamed("epoch", "at").withColumnRenamed("in_reply_to", "parent"), "locator")
-    rows = single.select(F.col("locator").alias("message_id"), F.col("at").alias("epoch"), F.col("from").alias("sender"), F.col("body"), F.col("parent").alias("in_reply_to"), _NO_REFS.alias("refs"))
+    rows = single.select(F.col("locator").alias("message_id"), F.col("at").alias("epoch"), F.col("from").alias("sender"), F.col("body"), F.col("parent").alias("in_reply_to"), _no_refs().alias("refs"))
     records = M.thread_records(M.threads(rows).join(rows.select("message_id", "epoch", "sender", "body"), "message_id"))
     return records.select(F.col("thread_id").alias("record_id"), F.lit("mail-thread").alias("kind"), "text").union(rows.select("message_id", F.lit("mail-message"), "body"))
