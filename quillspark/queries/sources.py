@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillspark.operators import links as L
 from quillspark.operators import outline
-from quillspark.plans.staging import shared_dir
 from quillspark.queries.fixtures import fixture
 from quillspark.queries.registry import query
 from quillspark.sources import records as S
@@ -101,26 +98,23 @@ def project_pages(spark, d):
 
 
 def _maildir(spark, d):
-    """The mail fixture as files, one a message, in folders of the shared directory."""
-    path = f"{shared_dir(spark)}/maildir-{uuid.uuid4().hex}"
+    """The mail fixture as the files of a mail directory: path and content, a row a message."""
     m = fixture(spark, d, "fx_messages")
     raw = F.when(F.col("epoch") % 11 == 0, F.col("raw")).otherwise(F.concat(F.lit("Message-ID: "), "message_id", F.lit("\n"), "raw"))
-    for folder in ("Inbox", "Archive", "Junk"):
-        for sub in ("cur", "new"):
-            own = m.where((F.col("folder") == folder) & ((F.col("epoch") % 2 == 0) == (sub == "cur")))
-            # each partition is one file: few rows a folder, every one a message of its own
-            own.select(F.concat(raw, F.lit("\n")).alias("value")).repartition(max(1, own.count())).write.text(f"{path}/{folder}/{sub}")
-    return path
+    content = F.concat(raw, F.lit("\n\n"))
+    sub = F.when(F.col("epoch") % 2 == 0, "cur").otherwise("new")
+    name = F.concat_ws("-", F.col("epoch").cast("string"), F.left(F.sha2(content, 256), F.lit(16)))
+    return m.select(F.concat(F.lit("/mail/"), "folder", F.lit("/"), sub, F.lit("/"), name, F.lit(":2,")).alias("path"), F.encode(content, "UTF-8").alias("content"))
 
 
 @query()
 def scan_maildir(spark, d):
-    return S.scan_maildir(spark, _maildir(spark, d))[0].select("folder", "message_id", "content_hash")
+    return S.scan_maildir(_maildir(spark, d))[0].select("folder", "message_id", "content_hash")
 
 
 @query()
 def resolve_mail(spark, d):
-    catalogue, _ = S.scan_maildir(spark, _maildir(spark, d))
+    catalogue, _ = S.scan_maildir(_maildir(spark, d))
     later = catalogue.where("folder <> 'Junk'").withColumn("path", F.when(F.col("folder") == "Archive", F.concat("path", F.lit("S"))).otherwise(F.col("path")))
     ids = catalogue.select("message_id").union(spark.createDataFrame([("<none@example.invalid>",)], "message_id string"))
     return S.resolve_mail(ids, catalogue, later).select("message_id", "status")

@@ -73,13 +73,17 @@ def import_jsonl(lines: DataFrame) -> DataFrame:
     return rows.select("id", kind.alias("kind"), F.sha2(T.normalize_stream(kind, F.col("org")), 256).alias("stream_hash"), T.title_of(kind, F.col("org")).alias("title"))
 
 
-def scan_maildir(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Files in <folder>/{cur,new} -> catalogue (folder, locator, content_hash, message_id, path), and how many have no id."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def mail_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of every file below a mail directory; Hadoop's local file system cannot open names with a colon, such mail has to come as rows."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
+def scan_maildir(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files(path, content) in <folder>/{cur,new}, a message each -> catalogue (folder, locator, content_hash, message_id, path), and how many have no id."""
     name = F.regexp_extract("path", r"/([^/]+)/(?:cur|new)/([^/]+)$", 2)
     rows = files.where(F.col("path").rlike(r"/(cur|new)/[^/]+$")).select(
         F.regexp_extract("path", r"/([^/]+)/(?:cur|new)/[^/]+$", 1).alias("folder"), F.split(name, ":2,", 2)[0].alias("locator"), F.sha2("content", 256).alias("content_hash"),
-        F.regexp_extract(T.header_value(F.decode("content", "UTF-8"), "message-id"), r"<[^<>\s]+>", 0).alias("message_id"), "path",
+        F.coalesce(F.regexp_extract(T.header_value(F.decode("content", "UTF-8"), "message-id"), r"<[^<>\s]+>", 0), F.lit("")).alias("message_id"), "path",
     )
     last = Window.partitionBy("message_id").orderBy(F.desc("folder"), F.desc("path"))
     catalogue = rows.where("message_id <> ''").withColumn("r", F.row_number().over(last)).where("r = 1").drop("r")
