@@ -206,10 +206,16 @@ def search_hybrid(
     if vectors is not None and qvecs is not None:
         similar = search_dense(qvecs, vectors, pooling, floor, candidates)
         signals.append(similar)
-    fused = rrf(signals)
-    if scorer is not None:
-        fused = rerank(fused, queries, texts, scorer)
-    hits = search_limit(fused, limit)
+    return _hits(rrf(signals), similar, titles, limit, (lambda fused: rerank(fused, queries, texts, scorer)) if scorer is not None else None)
+
+
+def fuse(lexical: DataFrame, similar: DataFrame, titles: DataFrame, limit: int = 10) -> DataFrame:
+    """The hits of search_hybrid from its two signals, for those who have them already: a sweep ranks the text once."""
+    return _hits(rrf([lexical, similar]), similar, titles, limit)
+
+
+def _hits(fused: DataFrame, similar: DataFrame | None, titles: DataFrame, limit: int, reranked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    hits = search_limit(reranked(fused) if reranked else fused, limit)
     if similar is not None:
         hits = hits.join(similar.select("query_id", "record_id", F.col("score").alias("similarity")), ["query_id", "record_id"], "left")
     else:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import evaluation as V
 from quillspark.operators import retrieval as R
+from quillspark.plans.staging import staged
 from quillspark.queries.fixtures import fixture, table
 from quillspark.queries.registry import query
+from quillspark.queries.retrieval import _passages, _vectors
 
 _CALL = "case when conv_id % 3 = 0 and turn = 0 then concat(text, ' ; kb get x && my-kb put y ; kb search z') when conv_id % 5 = 0 then concat(text, ' kb put q <system-reminder> kb get r </system-reminder>') else text end"
 
@@ -106,6 +108,90 @@ def signal_contributions(spark, d):
     return V.signal_contributions(trace, fixture(spark, d, "fx_questions").select("question_id", F.col("expected").alias("record_id")))
 
 
+# The queries above rank a stand-in, as their SQL does.  Those below search: every question in whole words over all passages and vectors.
+
+LIMIT = 100
+SWEEPS = [{"pooling": p, "floor": f} for p in R.POOLINGS for f in (None, 0.1, 0.4)]
+
+
+class _Search:
+    """search_hybrid for one set of questions and many sets of parameters: the text is ranked once, the vectors are scored once."""
+
+    def __init__(self, spark, d, questions):
+        # the tables hold no vectors of questions: the vector of a question's number stands for it, as in search_hybrid
+        qvecs = _vectors(spark, d).join(questions, F.col("vec_id") == F.col("question_id"), "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+        self.titles = fixture(spark, d, "fx_records").select("record_id", "title")
+        self.lexical = staged(R.search_lexical(questions.select(F.col("question_id").alias("query_id"), "query"), _passages(spark, d)))
+        self.scores = staged(R.dense_scores(qvecs, _vectors(spark, d)))
+        self.pooled = {}
+
+    def dense(self, pooling, floor):
+        if pooling not in self.pooled:
+            self.pooled[pooling] = staged(R.POOLINGS[pooling](self.scores))
+        return R.vector_candidates(R.similarity_floor(self.pooled[pooling], floor), LIMIT)
+
+    def __call__(self, asked, pooling, floor):
+        hits = R.fuse(self.lexical, self.dense(pooling, floor), self.titles, LIMIT).join(asked.select(F.col("question_id").alias("query_id")), "query_id", "left_semi")
+        # staged: the plan of a sweep would hold every search many times
+        return staged(hits.select(F.col("query_id").alias("question_id"), F.lit("kb").alias("corpus"), "record_id", "title", F.col("rank").cast("long").alias("rank"), "similarity"))
+
+
+def _asked(spark, d):
+    questions, expect, _ = V.load_questions(_raw(spark, d))
+    return staged(questions), staged(expect)
+
+
+def _searched(spark, d):
+    """Questions, expectations, and the hits of one search at the middle floor."""
+    questions, expect = _asked(spark, d)
+    return questions, expect, _Search(spark, d, questions)(questions, "mean_top3", 0.1)
+
+
+def _scored_searched(spark, d):
+    questions, expect, hits = _searched(spark, d)
+    return V.score_questions(questions, hits, V.match_expectations(hits, expect), LIMIT)
+
+
+@query()
+def match_expectations_searched(spark, d):
+    _, expect, hits = _searched(spark, d)
+    return V.match_expectations(hits, expect)
+
+
+@query()
+def score_questions_searched(spark, d):
+    return _scored_searched(spark, d).drop("query")
+
+
+@query()
+def eval_aggregate_searched(spark, d):
+    return _rounded(V.eval_aggregate(_scored_searched(spark, d)))
+
+
+@query()
+def eval_breakdown_searched(spark, d):
+    questions, expect, hits = _searched(spark, d)
+    scored = V.score_questions(questions, hits, V.match_expectations(hits, expect), LIMIT)
+    return _rounded(V.eval_breakdown(scored.join(V.corpus_questions(expect), "question_id")))
+
+
+@query()
+def evaluate_searched(spark, d):
+    """A row of measures for every pooling and floor."""
+    questions, expect = _asked(spark, d)
+    measured = _rounded(V.evaluate(questions, expect, _Search(spark, d, questions), SWEEPS, LIMIT))
+    given = spark.createDataFrame([(i, s["pooling"], s["floor"]) for i, s in enumerate(SWEEPS)], "sweep int, pooling string, floor double")
+    return measured.join(F.broadcast(given), "sweep")
+
+
+@query()
+def signal_contributions_searched(spark, d):
+    search = _Search(spark, d, _asked(spark, d)[0])
+    dense = search.dense("mean_top3", 0.1)
+    trace = R.trace({"lexical": search.lexical, "dense": dense}, R.rrf([search.lexical, dense])).withColumnRenamed("query_id", "question_id")
+    return V.signal_contributions(trace, fixture(spark, d, "fx_questions").select("question_id", F.col("expected").alias("record_id")))
+
+
 @query(f"with {_EXPECT} select node_id as record_id, question_id from x where node_id not in (select record_id from fx_records)")
 def verify_expected(spark, d):
     e = V.load_questions(_raw(spark, d))[1].select(F.col("node_id").alias("record_id"), "question_id")
