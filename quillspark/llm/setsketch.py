@@ -6,17 +6,18 @@ equal registers are likelier the more alike the sets are.  Candidates share a ba
 registers, a likelihood over all registers estimates their similarity, and the full
 shingle sets decide.
 
-Only connectivity is asked for, so copies are never paired with each other: documents
-with equal sets are one node; a bucket's nodes are compared with its hub first.  Nodes
-still in different components are compared further only if they can have enough in
-common: what they have in common with the hub and what else of theirs occurs in another
-such node bound any intersection.  No bucket is capped: large
-ones retire some leaders a round until their nodes are one component or few enough to
-compare all.
+Only connectivity is asked for, so copies are never paired with each other.  Documents
+with equal sets are one node.  The nodes of a bucket are first compared with its hub, the
+node that meets most others; what links to hubs is joined into components.  A bucket that
+still holds several components has its other pairs compared: in a small one pair by pair,
+by likelihood and then by full sets; in a large one in blocks of bounded rows and
+shingles, each block of nodes outside the hub's component against each block of the
+bucket, by products of 0/1 matrices over full sets.  A block gives at most one link for
+two components.  No bucket is capped, and no step depends on how many rounds others took.
 
 Defined results: a null or blank text has an empty set and links with nothing; a null
-id links with nothing, has a null component and is kept; rows that repeat an id are one
-node, with every text of that id; further columns of the input are not read.
+id links with nothing, has a null component and is kept; rows that repeat an id are linked
+with each other, whatever their texts; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,19 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.llm.buffers import LOWER, mixed, span_hash, texts, words
 from quillspark.plans.graph import connected_components
-from quillspark.plans.staging import Staged, staged
+from quillspark.plans.staging import Scratch, staged
 
 REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Likelihood estimates this far under the threshold are dropped: five standard errors at 0.8.
 SLACK = 5 * np.sqrt(0.8 * 0.2 / REGISTERS)
-#: Buckets up to this many nodes compare all pairs that are not yet in one component.
-SMALL = 48
-LEADERS = 64
+#: Buckets up to this many nodes compare pairs; blocks of larger ones hold about so many nodes and shingles.
+SMALL, BLOCK_NODES, BLOCK_SHINGLES = 16, 1024, 1 << 20
+#: Shingles of two blocks that are multiplied at once.
+WIDTH = 4096
 #: Ids or pairs up to this many (16 bytes each) are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -136,13 +137,55 @@ def _likely(batches, percent: int):
         if not len(x):
             continue
         j = estimate(b.column("na").to_numpy(), b.column("nb").to_numpy(), (x > y).sum(1), (x == y).sum(1), (x < y).sum(1))
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"]).filter(pa.array(j >= percent / 100 - SLACK))
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(j >= percent / 100 - SLACK))
 
 
-def _common(batches):
+def _linked(batches, percent: int):
     for b in batches:
-        both = [int(np.isin(*(np.frombuffer(s.as_buffer(), np.uint64) for s in pair), assume_unique=True, kind="sort").sum()) for pair in zip(b.column("sa"), b.column("sb"), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("na"), b.column("nb"), pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
+        sets = [[np.frombuffer(s.as_buffer(), np.uint64) for s in b.column(c)] for c in ("sa", "sb")]
+        size = [np.array([len(s) for s in x], np.int64) for x in sets]
+        both = np.array([np.isin(x, y, assume_unique=True, kind="sort").sum() for x, y in zip(*sets, strict=True)], np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["u", "v"]).filter(pa.array(100 * both >= percent * (size[0] + size[1] - both)))
+
+
+def overlaps(left: list, right: list) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of 0/1 matrices over the shingles that both sides have."""
+    flat, row = [], []
+    for sets in (left, right):
+        flat.append(np.concatenate(sets))
+        row.append(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    total = np.zeros((len(left), len(right)), np.float32)
+    for side in (0, 1):
+        has = np.isin(flat[side], common)
+        flat[side], row[side] = np.searchsorted(common, flat[side][has]), row[side][has]
+        order = np.argsort(flat[side], kind="stable")
+        flat[side], row[side] = flat[side][order], row[side][order]
+    for lo in range(0, len(common), WIDTH):
+        ones = []
+        for side, n in ((0, len(left)), (1, len(right))):
+            at = slice(*np.searchsorted(flat[side], [lo, lo + WIDTH]))
+            m = np.zeros((n, min(WIDTH, len(common) - lo)), np.float32)
+            m[row[side][at], flat[side][at] - lo] = 1
+            ones.append(m)
+        total += ones[0] @ ones[1].T
+    return total.astype(np.int64)
+
+
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links between components that the pairs of one block and one block show: each two components once."""
+    out = np.zeros((0, 2), np.int64)
+    asks = table.column("asks").to_numpy()
+    comp = table.column("c").to_numpy()
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles").combine_chunks()]
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if len(x) and len(y):
+        size = np.array([len(s) for s in sets], np.int64)
+        both = overlaps([sets[i] for i in x], [sets[i] for i in y])
+        hit = (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
+        i, j = np.nonzero(hit)
+        out = np.unique(np.stack([comp[x[i]], comp[y[j]]], 1), axis=0)
+    return pa.table({"u": pa.array(out[:, 0]), "v": pa.array(out[:, 1])})
 
 
 def _bounded(ids: DataFrame) -> DataFrame:
@@ -151,49 +194,38 @@ def _bounded(ids: DataFrame) -> DataFrame:
 
 
 class _Compare:
-    """Candidate pairs by sizes and register likelihood, then by their full sets: (a, b, both, linked) of the likely ones."""
+    """Candidate pairs by sizes and register likelihood, then by their full sets: links (u, v)."""
 
-    def __init__(self, reps: DataFrame, sets: DataFrame, percent: int):
-        self.reps, self.sets, self.percent = reps, sets, percent
+    def __init__(self, scratch: Scratch, reps: DataFrame, sets: DataFrame, percent: int):
+        self.scratch, self.reps, self.sets, self.percent = scratch, reps, sets, percent
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        side = lambda s, t: self.reps.select(F.col("rep").alias(s), F.col("n").alias(f"n{t}"), F.col("regs").alias(f"r{t}"))
-        close = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        likely = staged(close.mapInArrow(partial(_likely, percent=self.percent), "a long, b long, na long, nb long").distinct())
+        side = lambda s: self.reps.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
+        close = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
+        likely = self.scratch(close.mapInArrow(partial(_likely, percent=self.percent), "a long, b long").distinct())
         full = lambda s: self.sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
-        both = full("a").join(_bounded(likely), "a").join(full("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        found = both.mapInArrow(_common, "a long, b long, na long, nb long, both long")
-        return staged(found.select("a", "b", "both", F.expr(f"100 * both >= {self.percent} * (na + nb - both)").alias("linked")))
+        both = full("a").join(_bounded(likely), "a").join(full("b"), "b").select("a", "b", "sa", "sb")
+        return self.scratch(both.mapInArrow(partial(_linked, percent=self.percent), "u long, v long"))
 
 
-def _exploded(batches):
-    for b in batches:
-        for node, x in zip(b.column("node").to_pylist(), b.column("shingles"), strict=True):
-            h = np.frombuffer(x.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(h)], names=["node", "h"])
-
-
-def _common_shingles(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, h): the shingles of these nodes that another of them has too; only such can be in an intersection."""
-    rows = sets.join(_bounded(nodes), "node", "left_semi").mapInArrow(_exploded, "node long, h long")
-    common = rows.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("h")
-    return rows.join(common, "h")
-
-
-def _met_outside(shingles: DataFrame, nodes: DataFrame, fits: str) -> DataFrame:
-    """nodes(rep, n, shared, hub, i, c) -> pairs (a, b) near one hub, in different components, that share a shingle the hub lacks."""
-    own = nodes.where("hub is not null")
-    of_hub = shingles.join(own.select(F.col("hub").alias("node")).distinct(), "node").select(F.col("node").alias("hub"), "h").distinct()
-    rows = shingles.join(own.withColumnRenamed("rep", "node"), "node").join(of_hub, ["hub", "h"], "left_anti")
-    # shingles that all nodes having them already have in one component need no pairs
-    split = rows.groupBy("hub", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub", "h")
-    rows = rows.join(split, ["hub", "h"]).withColumnRenamed("node", "rep")
-    both = rows.alias("x").join(rows.alias("y"), ["hub", "h"]).where("x.rep < y.rep and x.c <> y.c").where(fits)
-    return both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+def _large(named: DataFrame, scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
+    """named(key, rep, n, c, hub_c) of large buckets -> links (u, v) between components, from blocks against blocks.
 
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    Nodes outside the hub's component ask, all answer.  A bucket with few that ask is read once.
+    """
+    rows = scratch(named.withColumn("asks", F.col("c") != F.col("hub_c")))
+    size = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.sum(F.col("asks").cast("long")).alias("ma"), F.sum(F.when(F.col("asks"), F.col("n")).otherwise(0)).alias("wa"))
+    blocks = lambda m, w: F.greatest(F.ceil(F.col(m) / BLOCK_NODES), F.ceil(F.col(w) / BLOCK_SHINGLES))
+    size = size.select("key", blocks("m", "w").alias("answering"), blocks("ma", "wa").alias("asking"))
+    own = lambda n: F.pmod(F.xxhash64("rep", F.lit(7)), F.col(n))
+    rows = rows.join(size, "key")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    unit = lambda asks, i, j: F.struct(F.lit(asks).alias("asks"), i.alias("i"), j.alias("j"))
+    answer = F.transform(every("asking"), lambda i: unit(False, i, own("answering")))
+    ask = F.transform(every("answering"), lambda j: unit(True, own("asking"), j))
+    rows = rows.select("key", F.col("rep").alias("node"), "c", F.inline(F.when(F.col("asks"), F.concat(answer, ask)).otherwise(answer)))
+    held = rows.join(sets, "node").select("key", "i", "j", "asks", "c", "shingles")
+    return scratch(held.groupBy("key", "i", "j").applyInArrow(lambda t: _block_links(t, percent), "u long, v long").distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,80 +234,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Texts link when 100 * |A & B| >= percent * |A | B| over their distinct k-word shingles.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = staged(src.mapInArrow(partial(_sketches, k=k), "doc_id long, n long, k1 long, k2 long, regs binary"))
-    keys = ["n", "k1", "k2"]
-    classes = sketch.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
-    classes = staged(classes)
-    reps = staged(sketch.join(classes, keys).where("doc_id = rep").select("rep", "n", "regs").distinct())
-
-    cut = f"explode(transform(sequence(0, {REGISTERS // BAND - 1}), i -> xxhash64(i, substring(regs, i * {2 * BAND} + 1, {2 * BAND}))))"
-    bands = reps.select("rep", F.expr(cut).alias("key"))
-    many = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    live = staged(bands.join(many, "key").select("key", "rep", "size"))
-    need = staged(live.select(F.col("rep").alias("doc_id")).distinct())
-    sets = staged(src.join(_bounded(need), "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "node long, shingles binary"))
-    compare = _Compare(reps, sets, percent)
-
-    # The node that meets most others leads each of its buckets: copies are near their original more often than near each other.
-    met = staged(live.groupBy("rep").agg(F.sum("size").alias("met")))
-    hubs = live.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", -F.col("rep"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a"))
-    pairs = staged(live.join(hubs, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    told = compare(pairs)
-    links = lambda told: told.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    labels = staged(connected_components(links(told)))
-    named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    named = named.join(split, "key").join(hubs, "key").where("rep <> a").select("key", "rep", "c", "a")
-    # Hubs of one component stand for one original: its nodes are also held against the hub that meets most.
-    chief = hubs.select("a").distinct().join(met, F.col("a") == met.rep).join(labels, F.col("a") == labels.node, "left").select("a", "met", F.coalesce("component", "a").alias("c"))
-    chiefs = chief.groupBy("c").agg(F.max_by("a", F.struct("met", "a")).alias("chief"))
-    chief = staged(chief.join(chiefs, "c").select("a", "chief"))
-    more = told.join(chief, "a").where("chief <> a and chief <> b").select(F.col("chief").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    told = told.unionByName(compare(more))
-    labels = staged(connected_components(links(told)))
-    nearest = told.join(chief, "a").groupBy(F.col("b").alias("rep")).agg(F.max(F.struct((F.col("a") == F.col("chief")).alias("first"), "both", "a")).alias("x"))
-    nearest = nearest.select("rep", F.col("x.a").alias("hub"), F.col("x.both").alias("i"))
-    # a hub that was held against no other is nearest to itself
-    alone = hubs.select(F.col("a").alias("rep")).distinct().join(nearest.select("rep"), "rep", "left_anti").join(reps.groupBy("rep").agg(F.max("n").alias("i")), "rep")
-    nearest = nearest.unionByName(alone.select("rep", F.col("rep").alias("hub"), "i"))
-    named = staged(named.join(nearest, "rep", "left"))
-    shingles = staged(_common_shingles(sets, staged(named.select(F.col("rep").alias("node")).union(named.select("a")).union(named.where("hub is not null").select("hub")).distinct())))
-    shared = shingles.groupBy("node").agg(F.count("*").alias("shared"))
-    sizes = reps.groupBy("rep").agg(F.max("n").alias("n"))
-    live = staged(
-        named.join(shared, named.rep == shared.node).join(sizes, "rep").where(f"100 * shared >= {percent} * n")
-        .select("key", "rep", "n", "shared", "hub", "i")
-    )
-    # What two nodes have in common lies within a hub near to both, at most the lesser of what each has in common with it,
-    # or outside, at most the lesser of what others share of them there.  Nodes near one hub that cannot link by the hub's
-    # shingles alone share one that the hub lacks, and are looked for by it; all others are compared within their buckets.
-    sizes_fit = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    bound = lambda most: f"(100 + {percent}) * ({most}) >= {percent} * (x.n + y.n) and {sizes_fit}"
-    fits = bound("case when x.hub = y.hub then least(x.i, y.i) else least(x.shared, y.shared) end")
-    nodes = live.select("rep", "n", "shared", "hub", "i").distinct().join(labels, F.col("rep") == labels.node, "left").select("rep", "n", "shared", "hub", "i", F.coalesce("component", "rep").alias("c"))
-    pairs = _met_outside(shingles, staged(nodes), bound("least(x.i, y.i) + least(x.shared - x.i, y.shared - y.i)"))
-    found = links(compare(_ordered(pairs)))
-    if not found.isEmpty():
-        labels = staged(connected_components(found.union(labels.select("node", "component"))))
-    reaches = f"(100 + {percent}) * shared >= {percent} * (n + greatest(least_n, {percent} * n / 100))"
-    while True:
-        named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", "n", "shared", "hub", "i", F.coalesce("component", "rep").alias("c"))
-        split = named.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where("lo < hi")
-        held = Staged(named.join(split, "key").where(reaches).drop("lo", "hi", "least_n"))
-        if held.df.isEmpty():
-            break
-        small, large = held.df.where(F.col("size") <= SMALL), held.df.where(F.col("size") > SMALL)
-        pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep and x.c <> y.c").where(fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        sized = large.join(large.groupBy("key", "c").agg(F.count("*").alias("of_c")), ["key", "c"])
-        turn = Window.partitionBy("key").orderBy("of_c", "rep")
-        leaders = staged(sized.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= LEADERS).drop("turn", "of_c", "size"))
-        pairs = pairs.union(large.alias("x").join(leaders.alias("y"), "key").where("x.c <> y.c").where(fits).select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")))
-        found = links(compare(_ordered(pairs)))
-        if not found.isEmpty():
-            labels = staged(connected_components(found.union(labels.select("node", "component"))))
-        live = staged(large.drop("c", "size").join(leaders.select("key", "rep"), ["key", "rep"], "left_anti"))
-
-    members = sketch.select("doc_id", *keys).join(classes, keys, "left")
+    with Scratch() as scratch:
+        sketch = scratch(src.mapInArrow(partial(_sketches, k=k), "doc_id long, n long, k1 long, k2 long, regs binary"))
+        keys = ["n", "k1", "k2"]
+        reps = scratch(sketch.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs")))
+        members = staged(sketch.select("doc_id", *keys).join(reps.select("rep", *keys), keys, "left").select("doc_id", "n", "rep"))
+        # rows of one id with unlike texts
+        torn = members.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("most")).where("u < most")
+        torn = members.join(torn, "doc_id").select("u", F.col("rep").alias("v")).where("u <> v").distinct()
+
+        cut = f"explode(transform(sequence(0, {REGISTERS // BAND - 1}), i -> xxhash64(i, substring(regs, i * {2 * BAND} + 1, {2 * BAND}))))"
+        bands = reps.select("rep", "n", F.expr(cut).alias("key"))
+        many = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+        live = scratch(bands.join(many, "key").select("key", "rep", "n", "size"))
+        # The node that meets most others leads each of its buckets: copies are near their original more often than near each other.
+        met = live.groupBy("rep").agg(F.sum("size").alias("met"))
+        hubs = live.join(met, "rep").groupBy("key").agg(F.max_by("rep", F.col("met") * 1024 + F.pmod("rep", F.lit(1024))).alias("hub"))
+        live = scratch(live.join(hubs, "key"))
+        need = live.select(F.col("rep").alias("doc_id")).distinct()
+        sets = scratch(src.join(_bounded(need), "doc_id", "left_semi").mapInArrow(partial(_sets, k=k), "node long, shingles binary"))
+        compare = _Compare(scratch, reps, sets, percent)
+
+        told = compare(live.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+        labels = scratch(connected_components(told.union(torn)))
+        named = live.join(labels, live.rep == labels.node, "left").select("key", "rep", "n", "hub", "size", F.coalesce("component", "rep").alias("c"))
+        split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.expr("case when rep = hub then c end")).alias("hub_c")).where("lo < hi")
+        named = scratch(named.join(split.select("key", "hub_c"), "key"))
+        few = named.where(F.col("size") <= SMALL).select("key", "rep", "n", "c")
+        near = f"x.rep < y.rep and x.c <> y.c and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        pairs = few.alias("x").join(few.alias("y"), "key").where(near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        more = compare(pairs).union(_large(named.where(F.col("size") > SMALL), scratch, sets, percent))
+        labels = staged(connected_components(more.union(labels.select("node", "component"))))
+
     out = members.join(labels, members.rep == labels.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.expr("case when doc_id is not null then coalesce(component, rep, doc_id) end").alias("component_id"),
