@@ -278,6 +278,66 @@ def test_secret_spans_and_masks(spark):
     assert len(masked) == len(texts)
 
 
+def test_battery_equals_its_formulas_and_finds_each_encoding(spark):
+    import math
+
+    rng = random.Random(11)
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    kinds = {"base64": low + up + dig + "+/", "letters and digits": low + up + dig, "hex": "0123456789ABCDEF", "base32": up + "234567", "lower": low, "upper": up, "letters": low + up, "digits": dig}
+    planted = {k: ["".join(rng.choice(a) for _ in range(40)) for _ in range(40)] for k, a in kinds.items()}
+    stems = ["the", "and", "water", "under", "school", "people", "little", "number", "great", "where", "through", "sentence", "before", "right", "means"]
+    plain = []
+    for sep, form in (("", str), ("", str.capitalize), ("_", str), ("/", str), ("-", str), ("_", str.upper)):
+        plain += [sep.join(form(rng.choice(stems)) for _ in range(6)) for _ in range(60)]
+    runs = spark.createDataFrame([(r,) for r in sorted({*plain, *(x for v in planted.values() for x in v)})], "run string")
+    tested = secrets.battery(runs).cache()
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    for r in tested.collect():
+        pattern, order, drift, rate, corr, spread = secrets.ENCODINGS[r.encoding]
+        assert not any(re.match(e[0], r.run) for e in secrets.ENCODINGS[: r.encoding]) and re.match(pattern, r.run)
+        body = r.run if r.encoding == 3 or (r.run != r.run.lower() and r.run != r.run.upper()) else r.run.lower()
+        x = [order.index(c) for c in body.replace("-", "+").replace("_", "/")]
+        n, k, mid = len(x), len(order), (len(order) - 1) / 2
+        chi = sum((x.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+        changes = sum((a > mid) != (b > mid) for a, b in zip(x, x[1:], strict=False))
+        serial = sum((a - mid) * (b - mid) for a, b in zip(x, x[1:], strict=False)) / ((k * k - 1) / 12) / (n - 1)
+        assert (r.chi, r.changes, r.serial) == pytest.approx((chi, changes, serial), abs=1e-9)
+        even = tail(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+        ps = [even, 2 * tail(abs(changes - (n - 1) / 2) / math.sqrt((n - 1) / 4)), 2 * tail(abs(serial) * math.sqrt(n - 1))]
+        extra = n * drift
+        ts = [tail((k - 1 + extra - chi) / math.sqrt(2 * (k - 1) + 4 * extra)), tail((changes - (n - 1) * rate) / math.sqrt((n - 1) * rate * (1 - rate))), tail((corr - serial) * math.sqrt(n - 1) / spread)]
+        for got, three in ((r.p_random, ps), (r.p_text, ts)):
+            h = -sum(math.log(max(min(p, 1.0), 1e-100)) for p in three)
+            assert got == pytest.approx(math.exp(-h) * (1 + h + h * h / 2), rel=0.02, abs=1e-6)
+    # the false-discovery step against its definition over sorted p values, up to a bin's width
+    found = {r.run for r in secrets.discoveries(tested).collect()}
+    classes: dict = {}
+    for r in tested.collect():
+        classes.setdefault(math.floor(2 * math.log2(r.n)), []).append(r)
+    for rows in classes.values():
+        ps = sorted(r.p_text for r in rows)
+        level = max((p for i, p in enumerate(ps, 1) if p * len(ps) <= secrets.RATE * i), default=-1.0)
+        for r in rows:
+            if r.p_random >= secrets.PASS and not level / 1.2 < r.p_text < level * 1.2:
+                assert (r.run in found) == (r.p_text <= level)
+    for k, v in planted.items():
+        assert sum(x in found for x in v) >= 0.9 * len(v), k
+    assert sum(x in found for x in plain) <= 0.02 * len(plain)
+
+
+def test_secrets_of_repeated_rows_nothing_and_many_matches(spark):
+    key = "".join(random.Random(12).choices(string.ascii_letters + string.digits, k=40))
+    rows = secrets.report(secrets.scan(_docs(spark, [f"a {key}", f"a {key}", "plain"], [1, 1, 1]))).collect()
+    assert sorted("random" in r.spans for r in rows) == [False, True, True]
+    assert secrets.scan(_docs(spark, [])).count() == 0 and secrets.masked(_docs(spark, [])).count() == 0
+    assert secrets.report(secrets.scan(_docs(spark, ["x"], [None]))).collect()[0].doc_id is None
+    text = " ".join(f"{i:032x}" for i in range(3000)) + f" token=abcdef {key} password: {key}"
+    row = secrets.report(secrets.scan(_docs(spark, [text]))).collect()[0]
+    base = ",".join(f"{k}:{s}:{e}" for s, _, e, k in _base_spans(text))
+    assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and row.n_hex == 3000
+    assert [x for x in row.spans.split(",") if x.startswith("random")] == [f"random:{text.index(key)}:{text.index(key) + 40}"]
+
+
 def test_mix_reaches_its_targets(spark):
     rng = random.Random(10)
     texts = [_prose(rng, rng.randint(1, 60)) for _ in range(400)] + [None, "", "w " * 3000]
