@@ -88,10 +88,13 @@ from embeddings e join least l on l.node = e.vec_id left join counted c on c.u =
 
 _MIX = r"""
 with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-    coalesce(greatest(0.05, length(translate(text, '*%$&#!|', '')) / greatest(length(text), 1)), 1.0) as quality,
+  select doc_id, source, size, coalesce(greatest(0.05, plain * plain * plain * plain * case when word between 2.5 and 12 then 1.0::double else 0.5::double end), 1.0) as quality,
     (cast('0x' || substr(md5('mix' || cast(doc_id as varchar)), 1, 12) as bigint) + 0.5) / 281474976710656.0 as u
-  from documents
+  from (
+    select *, length(translate(text, '0123456789*%$&#|<>=+/\@^~_{}[]()', ''))::double / greatest(length(text), 1) as plain,
+      length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::double / greatest(size, 1) as word
+    from (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents)
+  )
 ), keyed as (select doc_id, source, size, -ln(u) / quality as key from d),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (
