@@ -4,10 +4,15 @@ Compiling reads the merges in order.  Merge number r of (a, b) is one gadget on
 automaton over tokens: the state behind arc a loses its arc b, and a new arc ab goes
 where b went, so the state behind ab is the state behind b as it stands at r.  A state
 is thus kept as (the token that led there, the number of gadgets applied), and an arc is
-looked up by walking to the parts that a token had when it was added; looked-up arcs stay
-in a table.  A word has exactly one path whose arc labels spell it: the BPE segmentation.
-Encoding follows the longest arcs first and steps back where a path ends; decoding joins
-the arc labels.
+looked up by walking to the parts that a token had when it was added.  A word has exactly
+one path whose arc labels spell it: the BPE segmentation.
+
+Encoding runs a deterministic automaton over characters.  Its states are the sets of arcs
+of the token automaton that may be under way, each with the token it started behind; by
+the one path of every prefix, entering a state also tells the last token of the word so
+far.  States are numbered and their transitions kept in a table per state, filled when
+first taken.  A word is one table step a character, without going back; its ids are read
+off the last tokens from the end.  Decoding joins the arc labels.
 
 Defined results: a null text counts as empty and gives no ids and an empty string; marks
 of the start and end of text in a text are their own ids, as in the tokenizers library;
@@ -29,13 +34,30 @@ from pyspark.sql import functions as F
 
 #: Distinct white-space-free chunks a worker remembers; then it starts anew.
 REMEMBERED = 250_000
-#: Arc lookups a worker remembers.
-ARCS = 1_000_000
+#: Arc lookups and automaton states a worker remembers; then either starts anew.
+ARCS, STATES = 1_000_000, 400_000
 
 #: Fixed: white space that str.split() cuts at but the tokenizer's \s does not.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _TRUE_SPACE = regex.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 
+#: Fixed: letters of the pattern library's tables that the tokenizer's tables do not count as letters.
+NOT_LETTERS = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d-\u209f\ua7cb-\ua7cc\ua7ce-\ua7cf\ua7d2\ua7d4\ua7da\ua7dc-\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010d50-\U00010d65\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
+    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    "\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+
+#: Fixed: the same for numbers.
+NOT_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+#: Fixed: lower-case letters of the tokenizer's tables that str.lower() does not know yet.
+LATE_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+LATE_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LATE = regex.compile("[\u1c89\ua7cb-\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on."""
@@ -71,27 +93,33 @@ class Automaton:
                 self.born[z], self.parts[z] = r, (x, y)
         self.arcs.clear()
         self.start = {t: i for t, i in vocab.items() if i not in dead}
-        # a trie of the labels: from any place in a word, all arcs that may come next, the longest last
+        # the spellings of all arcs, character by character; the last character of a word carries the end mark
         self.next: list[dict[str, int]] = [{}]
-        self.inner, self.final, self.length = [-1], [-1], [0] * self.size
+        self.token, self.length = [-1], [0] * self.size
         for text, i in self.start.items():
             ends = bool(suffix) and text.endswith(suffix)
-            own = text.removesuffix(suffix) if ends else text
+            own = list(text.removesuffix(suffix) if ends else text)
+            if ends and own:
+                own[-1] += suffix
             at = 0
             for c in own:
                 to = self.next[at].get(c)
                 if to is None:
                     to = self.next[at][c] = len(self.next)
                     self.next.append({})
-                    self.inner.append(-1)
-                    self.final.append(-1)
+                    self.token.append(-1)
                 at = to
             self.length[i] = len(own)
-            if ends or not suffix:
-                self.final[at] = i
-            if not ends:
-                self.inner[at] = i
-        self.deepest = max(self.length, default=0)
+            if at:
+                self.token[at] = i
+        self._begin()
+
+    def _begin(self) -> None:
+        """Only the start state: no arc under way, no token behind."""
+        self.under_way: list[tuple] = [((0, -1),)]
+        self.last = [-1]
+        self.table: list[dict[str, int]] = [{}]
+        self.number: dict[tuple, int] = {self.under_way[0]: 0}
 
     def _walk(self, p: int, t: int) -> bool:
         """Is there an arc t in the state behind p?"""
@@ -118,58 +146,51 @@ class Automaton:
             got = self.arcs[key] = self._walk(p, t)
         return got
 
-    def _options(self, word: str, at: int) -> list[int]:
-        """Arcs that spell a part of the word from a place on, shortest first; only the last one may carry the end mark."""
-        node, out, step, inner = 0, [], self.next, self.inner
-        stop = min(len(word) - 1, at + self.deepest)
-        for c in word[at:stop]:
-            to = step[node].get(c)
+    def _step(self, state: int, c: str) -> int:
+        """The transition that is not in the table yet."""
+        going, done = [], -1
+        for node, behind in self.under_way[state]:
+            to = self.next[node].get(c)
             if to is None:
-                return out
-            node = to
-            if inner[node] >= 0:
-                out.append(inner[node])
-        if stop == len(word) - 1:
-            to = step[node].get(word[-1])
-            if to is not None and self.final[to] >= 0:
-                out.append(self.final[to])
-        return out
+                continue
+            if self.next[to]:
+                going.append((to, behind))
+            t = self.token[to]
+            if t >= 0 and done < 0 and (behind < 0 or self.arc(behind, t)):
+                done = t
+        if done < 0:
+            raise ValueError("the vocabulary lacks a symbol of this word")
+        key = (*going, (0, done))
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.table)
+            self.under_way.append(key)
+            self.last.append(done)
+            self.table.append({})
+        self.table[state][c] = to
+        return to
 
     def encode(self, word: str) -> list[int]:
         """The ids along the one path that spells word and its end mark."""
-        whole = self.start.get(word + self.suffix)
-        if whole is not None:
-            return [whole]
         if not word:
             return []
-        n, at, last, arcs, size = len(word), 0, -1, self.arcs, self.size
-        path: list[int] = []
-        waiting, dead = [self._options(word, 0)], set()
-        while True:
-            options = waiting[-1]
-            while options:
-                i = options.pop()
-                if last >= 0:
-                    there = arcs.get(last * size + i)
-                    if not (self.arc(last, i) if there is None else there):
-                        continue
-                if (at, i) not in dead:
-                    break
-            else:
-                if not path:
-                    raise ValueError("the vocabulary lacks a symbol of this word")
-                waiting.pop()
-                i = path.pop()
-                at -= self.length[i]
-                dead.add((at, i))
-                last = path[-1] if path else -1
-                continue
-            path.append(i)
-            at += self.length[i]
-            if at == n:
-                return path
-            last = i
-            waiting.append(self._options(word, at))
+        if len(self.table) > STATES:
+            self._begin()
+        table, last, state, seen = self.table, self.last, 0, []
+        for c in word[:-1]:
+            to = table[state].get(c)
+            state = self._step(state, c) if to is None else to
+            seen.append(last[state])
+        c = word[-1] + self.suffix
+        to = table[state].get(c)
+        seen.append(last[self._step(state, c) if to is None else to])
+        at, length, out = len(seen), self.length, []
+        while at:
+            t = seen[at - 1]
+            out.append(t)
+            at -= length[t]
+        out.reverse()
+        return out
 
 
 class Tokenizer:
@@ -184,7 +205,9 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.piece = regex.compile(split)
+        for name, less in ((r"\p{L}", NOT_LETTERS), (r"\p{N}", NOT_NUMBERS)):
+            split = split.replace(name, f"[{name}--[{less}]]")
+        self.piece = regex.compile("(?V1)" + split)
         self.letters = _byte_letters()
         self.known: dict[str, tuple[bytes, str]] = {}
 
@@ -205,6 +228,8 @@ class Tokenizer:
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _LATE.search(text):
+                text = text.translate(LATE_LOWER)
         text = text.lower()
         chunks = _TRUE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
         known, make = self.known, self._chunk

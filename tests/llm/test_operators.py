@@ -151,6 +151,37 @@ def test_bpe_equals_the_library_and_decodes(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(ref.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_equals_the_library_on_every_code_point_and_random_strings():
+    from tokenizers import Tokenizer
+
+    ref, own = Tokenizer.from_file(WORD_BPE), bpe.Tokenizer(WORD_BPE)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(every), 64):
+        # each beside a letter, a mark and a digit
+        text = " ".join(f"q{c}q !{c}! 1{c}1" for c in every[lo : lo + 64])
+        assert np.frombuffer(own.encode(text)[0], "<i4").tolist() == ref.encode(text, add_special_tokens=False).ids, hex(ord(every[lo]))
+    rng = random.Random(14)
+    ranges = [(32, 126), (97, 122), (97, 122), (0x80, 0x24F), (0x300, 0x2FFF), (0x3000, 0xD7FF), (0x10000, 0x1FFFF)]
+    for _ in range(10_000):
+        text = "".join(chr(rng.randint(*rng.choice(ranges))) for _ in range(rng.randint(1, 14)))
+        assert np.frombuffer(own.encode(text)[0], "<i4").tolist() == ref.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_automaton_forgets_states_and_stays_right():
+    from tokenizers import Tokenizer
+
+    ref, own = Tokenizer.from_file(WORD_BPE), bpe.Tokenizer(WORD_BPE)
+    rng, states = random.Random(15), bpe.STATES
+    bpe.STATES = 50
+    try:
+        for _ in range(300):
+            word = "".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 30)))
+            assert np.frombuffer(own.encode(word)[0], "<i4").tolist() == ref.encode(word, add_special_tokens=False).ids
+            assert len(own.automaton.table) < 50 + 31
+    finally:
+        bpe.STATES = states
+
+
 def test_automaton_equals_merging_step_by_step():
     rng = random.Random(6)
     for _ in range(30):
