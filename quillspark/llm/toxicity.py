@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.buffers import SPACE, texts
 
+#: Labelled texts longer than this are not learned from (all are scored whole).
+LONGEST = 200_000
 #: Bounds: labelled documents the machine is trained on, landmarks, negative segments.
 SAMPLE, LANDMARKS, NEGATIVES, ROUNDS = 3000, 160, 8_000, 3
 GAP = 0.5
@@ -177,10 +179,11 @@ def _disguised(words: list[str], rng) -> list[str]:
 
 
 class Machine:
-    """Weights per subsequence, a bias and a logistic curve."""
+    """Weights per subsequence, a bias and a logistic curve; the landmarks and their weights that were folded are kept to be looked at."""
 
-    def __init__(self, beta: np.ndarray, bias: float, slope: float, shift: float):
+    def __init__(self, beta: np.ndarray, bias: float, slope: float, shift: float, landmarks: tuple = (), alpha: tuple = ()):
         self.beta, self.bias, self.slope, self.shift = beta.astype(np.float32), bias, slope, shift
+        self.landmarks, self.alpha = list(landmarks), np.asarray(alpha, float)
 
     def margins(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(margin of each row's most toxic segment, of no toxic segment: 0; that segment's number or -1)."""
@@ -272,7 +275,8 @@ def train(rows: list[tuple[str, int]]) -> Machine:
     # segments in many toxic and no clean documents are witnesses wherever they stand; other toxic documents get their likeliest
     sure = {w: n for w, n in in_toxic.items() if n >= max(5, SURE * len(toxic)) and not in_clean[w]}
     witness = [max(b, key=lambda w: (worth(w), w)) for b in toxic if b and sure.keys().isdisjoint(b)]
-    common = [w for w, _ in in_clean.most_common(NEGATIVES // 4)]
+    # every order is by count and then by word, so that training does not depend on how a process hashes strings
+    common = sorted(in_clean, key=lambda w: (-in_clean[w], w))[: NEGATIVES // 4]
     rest = sorted(in_clean)
     negative = list(dict.fromkeys(common + [rest[i] for i in rng.permutation(len(rest))[: NEGATIVES - len(common)]]))
     machine = None
@@ -280,7 +284,7 @@ def train(rows: list[tuple[str, int]]) -> Machine:
         positive = Counter(sure) + Counter(witness)
         if not positive:
             positive = Counter(w for b in toxic for w in b) or Counter(["?"])
-        positive.update(_disguised(list(positive), rng))
+        positive.update(_disguised(sorted(positive), rng))
         own = sorted(positive, key=lambda w: (-positive[w], w))
         half = LANDMARKS // 4
         picked = own[:half] + [own[half:][i] for i in rng.permutation(max(0, len(own) - half))[:half]]
@@ -298,7 +302,7 @@ def train(rows: list[tuple[str, int]]) -> Machine:
         lw, lcode, lv = features([_as_utf8(x) for x in landmarks])
         norm = np.sqrt(np.bincount(lw, lv * lv, len(landmarks)))
         beta = np.bincount(lcode, lv * (alpha / np.maximum(norm, 1e-9))[lw], A**3)
-        machine = Machine(beta, bias, 1.0, 0.0)
+        machine = Machine(beta, bias, 1.0, 0.0, landmarks, alpha)
         found, hard = [], []
         for lo, hi, data, at, names in chunks:
             best, which = machine.margins(data, at)
@@ -313,16 +317,20 @@ def train(rows: list[tuple[str, int]]) -> Machine:
             negative = list(dict.fromkeys(hard + negative))
     margin = [machine.margins(data, at)[0] for _, _, data, at in texts(pa.array([t or "" for t, _ in back]), 1 << 18)]
     slope, shift = _logistic(np.concatenate(margin) + machine.bias, np.array([y for _, y in back], float))
-    return Machine(machine.beta, machine.bias, slope, shift)
+    return Machine(machine.beta, machine.bias, slope, shift, machine.landmarks, machine.alpha)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> list[tuple[str, int]]:
-    """At most `sample` (text, label) rows: the first by a hash among ids whose crc32 is not 2 modulo 4."""
+    """At most `sample` (text, label) rows of texts up to LONGEST: the first by a hash among ids whose crc32 is not 2 modulo 4.
+
+    Where an id repeats, its greatest label and its least text count.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("y is not null and doc_id is not null")
-    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    got = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return list(zip(got["text"].fillna(""), got["y"].astype(int), strict=True))
+    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(column)), "doc_id").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= LONGEST)
+    got = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).toArrow().sort_by("doc_id")
+    return list(zip(got["text"].to_pylist(), got["y"].to_pylist(), strict=True))
 
 
 def _scored(batches, machine: Machine, threshold: float):

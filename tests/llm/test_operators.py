@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import random
 import re
 import string
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -236,6 +240,53 @@ def test_toxicity_on_held_out_documents(spark):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == r.held_out for r in rows)
 
 
+def _insults(n, seed):
+    rng = random.Random(seed)
+    bad = ["numskull", "dimwit", "blockhead"]
+    return [(_prose(rng, 30) + (" " + rng.choice(bad) + " " + _prose(rng, 5) if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(n)]
+
+
+def test_toxicity_is_the_same_for_every_hash_seed():
+    code = "import sys, hashlib; sys.path[:0] = sys.argv[1:]; from quillspark.llm import toxicity; from tests.llm.test_operators import _insults; m = toxicity.train(_insults(240, 8)); print(hashlib.sha256(m.beta.tobytes()).hexdigest(), m.bias, m.slope, m.shift)"
+    root = str(Path(__file__).resolve().parents[2])
+    said = {subprocess.run([sys.executable, "-c", code, root], env=os.environ | {"PYTHONHASHSEED": seed}, capture_output=True, text=True, check=True).stdout for seed in ("0", "1", "2")}
+    assert len(said) == 1
+
+
+def test_kernel_and_folded_weights_match_brute_force():
+    def sub(word):
+        c, out = "^" + word, {}
+        for gaps, (i, j) in (((0), (1, 2)), (1, (1, 3)), (1, (2, 3)), (2, (1, 4)), (2, (2, 4)), (2, (3, 4))):
+            for at in range(len(c) - j):
+                k = c[at] + c[at + i] + c[at + j]
+                out[k] = out.get(k, 0) + toxicity.GAP**gaps
+        return out
+
+    def kernel(a, b):
+        x, y = sub(a), sub(b)
+        norm = lambda v: sum(t * t for t in v.values()) ** 0.5 or 1.0
+        return sum(v * y.get(k, 0) for k, v in x.items()) / norm(x) / norm(y)
+
+    words = ["numskull", "numxskull", "nmskull", "table", "ab", "dimwit", "dimdimdim"]
+    got = toxicity._kernel(words, words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert got[i, j] == pytest.approx(kernel(a, b), abs=1e-5)
+    machine = toxicity.train(_insults(240, 8))
+    text = "the numskull and a table or nuxmskull anest"
+    data = np.frombuffer(text.encode(), np.uint8)
+    best, _ = machine.margins(data, np.array([0, len(data)]))
+    want = max(sum(w * kernel(word, mark) for w, mark in zip(machine.alpha, machine.landmarks, strict=True)) for word in text.replace(" a ", " ").split())
+    assert best[0] == pytest.approx(max(0.0, want), rel=1e-3)
+
+
+def test_labelled_sample_of_repeated_and_long_rows(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "x" * (toxicity.LONGEST + 1)), (4, "kept"), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 9), (1, 1, 9), (2, 0, 9), (3, 1, 9), (4, 1, 9), (4, None, 9), (None, 1, 9)], "doc_id long, toxic int, text int")
+    known = {i for i in (1, 2, 4) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert toxicity.labelled_sample(docs, labels, "toxic", 100) == [x for i, x in ((1, ("a", 1)), (2, ("", 0)), (4, ("kept", 1))) if i in known]
+
+
 def test_toxicity_reads_spelt_out_and_odd_texts(spark):
     rng = random.Random(8)
     bad = ["numskull", "dimwit", "blockhead"]
