@@ -8,18 +8,21 @@ complement of the slices.  The score's slices are then walked from the most sign
 downward: bitmaps of rows surely in and rows still level narrow down to k, and rows level
 at the boundary are resolved exactly, smallest id first.  Scores are read from the slices.
 
-Queries and rows meet in blocks, every query block with every row block, one pair to a
-task; each pair gives at most k rows a query, and a window over those takes the best k.
+Queries and rows meet in blocks, every query block with every row block, the pairs dealt
+out evenly; each pair gives at most k rows a query, and a window over those takes the
+best k.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take
-no part, nor do rows with a null id; an id that repeats counts once, with its least
-vector; scores compare only vectors of equal length; fewer than k candidates give all;
-equal scores rank by smaller id; further columns are not read.
+no part, nor do rows with a null id; where an id repeats, every row of it is a candidate
+for other ids and none for its own, and all its rows ask together, for k hits in all;
+scores compare only vectors of equal length; fewer than k candidates give all; equal
+scores rank by smaller id; further columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROWS, QUERIES = 8192, 4096
+from quillspark.plans.staging import staged
+
+ROWS, QUERIES = 8192, 2048
 #: Queries whose bitmaps are worked on together.
 TOGETHER = 24
 
@@ -35,9 +40,8 @@ _VALID = "embedding is not null and size(embedding) > 0 and vec_id is not null a
 
 
 def vectors(table: DataFrame, scale: float) -> DataFrame:
-    """(vec_id, dims, q array<long>): valid rows, quantised, one per id."""
+    """(vec_id, dims, q array<long>): valid rows, quantised."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(_VALID)
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     return rows.select("vec_id", F.size("embedding").alias("dims"), F.transform("embedding", lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("q"))
 
 
@@ -121,9 +125,14 @@ def _select(total: list, level: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return sure, level
 
 
-def _pair(table: pa.Table, k: int) -> pa.Table:
+def _pairs(batches, k: int):
+    for b in batches:
+        for row in range(b.num_rows):
+            yield _pair(b.slice(row, 1).to_pylist()[0], k)
+
+
+def _pair(row: dict, k: int) -> pa.RecordBatch:
     """The k best rows of one block for every query of one query block."""
-    row = table.slice(0, 1).to_pylist()[0]
     ids, dims, bits = np.frombuffer(row["block_ids"], "<i8"), row["dims"], row["block_bits"]
     qids = np.frombuffer(row["asked_ids"], "<i8")
     queries = np.frombuffer(row["asked_body"], "<i8").reshape(-1, dims)
@@ -151,9 +160,11 @@ def _pair(table: pa.Table, k: int) -> pa.Table:
             sums.append((m + n, _add(x, y)))
         total = sums[0][1]
         level = np.repeat(present[None, :], part.stop - part.start, 0)
-        at = np.searchsorted(ids, qids[part])
-        own = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == qids[part]))
-        level[own, at[own] // 64] &= ~(np.uint64(1) << (at[own] % 64).astype(np.uint64))
+        # rows of the query's own id
+        at, end = np.searchsorted(ids, qids[part]), np.searchsorted(ids, qids[part], "right")
+        while (own := np.flatnonzero(at < end)).size:
+            level[own, at[own] // 64] &= ~(np.uint64(1) << (at[own] % 64).astype(np.uint64))
+            at[own] += 1
         sure, level = _select(total, level, k)
         for i in range(part.stop - part.start):
             best = np.flatnonzero(np.unpackbits(sure[i].view(np.uint8), bitorder="little"))
@@ -166,20 +177,21 @@ def _pair(table: pa.Table, k: int) -> pa.Table:
             out[1].append(ids[best])
             out[2].append(score + shift[lo + i])
     cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-    return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
 
 
 def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
     """-> query_id, rank, vec_id, score for the rows whose id is divisible by `every`, against all other rows."""
-    rows = vectors(table, scale)
+    rows = staged(vectors(table, scale))
     n = rows.count()
     blocks, asked = max(1, math.ceil(n / ROWS)), max(1, math.ceil(n / every / QUERIES))
-    spread = lambda m, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m))
+    # rows of one id may be many, so all columns decide on the block
+    spread = lambda m, salt: F.pmod(F.xxhash64("vec_id", "q", F.lit(salt)) + F.monotonically_increasing_id(), F.lit(m))
     schema = "dims int, {0} long, {0}_ids binary, {0}_low long, {0}_bits int, {0}_body binary"
     index = rows.withColumn("block", spread(blocks, 1)).groupBy("dims", "block").applyInArrow(lambda t: _packed(t, "block"), schema.format("block"))
     query = rows.where(F.col("vec_id") % every == 0).withColumn("asked", spread(asked, 2))
     query = query.groupBy("dims", "asked").applyInArrow(lambda t: _packed(t, "asked"), schema.format("asked"))
     pairs = index.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long")))).join(query, ["dims", "asked"])
-    best = pairs.groupBy("dims", "block", "asked").applyInArrow(lambda t: _pair(t, k), "query_id long, vec_id long, score long")
+    best = pairs.repartition(blocks * asked).mapInArrow(partial(_pairs, k=k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,9 +13,9 @@ Exactly equal vectors of a label are one node with a count.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and rows without a label or id, link with nothing and are kept as their own component (a
-null id has a null component); only vectors of equal length are compared; rows that
-repeat an id and vector count as one vector each and all their links; further columns are
-not read.
+null id has a null component); labels are equal if they are in their own type; only
+vectors of equal length are compared; rows that repeat an id are a vector each, like or
+unlike, with links of their own; further columns are not read.
 """
 
 from __future__ import annotations
@@ -91,8 +91,8 @@ def _intervals(batches, axes: dict, size: int):
         yield packed()
 
 
-_INTERVAL = pa.schema([("label", pa.int64()), ("dims", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("nodes", pa.binary()), ("copies", pa.binary()), ("body", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
-_INTERVAL_DDL = "label long, dims int, first long, n int, nodes binary, copies binary, body binary, lo array<double>, hi array<double>"
+_INTERVAL = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("nodes", pa.binary()), ("copies", pa.binary()), ("body", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
+_INTERVAL_DDL = "label string, dims int, first long, n int, nodes binary, copies binary, body binary, lo array<double>, hi array<double>"
 
 
 def _far(x: np.ndarray, y: np.ndarray, eps: float) -> bool:
@@ -165,15 +165,17 @@ def _met(table: pa.Table, axes: dict, cosine: float, eps: float) -> pa.Table:
 def near_vectors(table: DataFrame, cosine: float = 0.93) -> DataFrame:
     """-> vec_id, n_links, component_id, kept: links join vectors of one label with at least that cosine."""
     spark = table.sparkSession
-    rows = staged(table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")))
+    rows = staged(table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")))
     valid = rows.where(_VALID)
-    nodes = staged(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).withColumn("dims", F.size("embedding")))
-    lone = rows.join(nodes.select("label", "embedding", "node", "copies"), ["label", "embedding"], "left").select("vec_id", "node", "copies", F.expr(_VALID).alias("valid"))
+    # numbered, as an id may repeat with unlike vectors
+    nodes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    nodes = staged(nodes.withColumn("dims", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()))
+    lone = rows.join(nodes.select("label", "embedding", "node", "least_id", "copies"), ["label", "embedding"], "left").select("vec_id", "node", "least_id", "copies")
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-12
     axes = {r[0]: directions(nodes, r[0]) for r in nodes.select("dims").distinct().collect()}
 
     n = nodes.count()
-    celled = staged(nodes.mapInArrow(partial(_celled, axes=axes, eps=eps), "label long, embedding array<double>, node long, copies long, dims int, cells array<int>"))
+    celled = staged(nodes.select("label", "embedding", "node", "copies", "dims").mapInArrow(partial(_celled, axes=axes, eps=eps), "label string, embedding array<double>, node long, copies long, dims int, cells array<int>"))
     parts = max(1, math.ceil(n / (4 * INTERVAL)))
     order = ["label", "dims", "cells", "node"]
     runs = celled.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(partial(_intervals, axes=axes, size=INTERVAL), _INTERVAL_DDL)
@@ -191,11 +193,12 @@ def near_vectors(table: DataFrame, cosine: float = 0.93) -> DataFrame:
     met = both.groupBy("label", "dims", "xfirst", "yfirst").applyInArrow(lambda t: _met(t, axes, cosine, eps), "node long, links long, least long")
     met = staged(met)
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = connected_components(met.select(F.col("node").alias("u"), F.col("least").alias("v")))
+    labels = staged(connected_components(met.select(F.col("node").alias("u"), F.col("least").alias("v"))).join(nodes.select("node", "least_id"), "node"))
+    labels = labels.join(labels.groupBy("component").agg(F.min("least_id").alias("reached")), "component").select("node", "reached")
 
     out = lone.join(links, "node", "left").join(labels, "node", "left")
     near = F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
     return out.select(
         "vec_id", near.cast("long").alias("n_links"),
-        F.expr("case when vec_id is not null then coalesce(component, node, vec_id) end").alias("component_id"),
+        F.expr("case when vec_id is not null then coalesce(reached, least_id, vec_id) end").alias("component_id"),
     ).withColumn("kept", F.expr("vec_id <=> component_id"))

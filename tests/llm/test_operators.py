@@ -137,6 +137,22 @@ def test_top_k_matches_brute_force(spark):
     assert bitslice.top_k(_vectors(spark, [])).count() == 0
 
 
+def test_top_k_and_near_vectors_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (2, [0.7, 0.0]), (0, [0.0, 1.0]), (2, [0.7, 0.0]), (2, [0.7, 0.0])]
+    got = [tuple(r) for r in bitslice.top_k(_vectors(spark, [(i, v, 1, 0.0) for i, v in rows]), k=6).orderBy("rank").collect()]
+    assert [(q, s) for q, _, _, s in got] == [(0, 57 * 64), (0, 44 * 64), (0, 44 * 64), (0, 44 * 64), (0, 32 * 64), (0, 0)]
+    assert [v for _, _, v, _ in got] == [1, 2, 2, 2, 1, 1]
+    near = egojoin.near_vectors(_vectors(spark, [(i, v, 1, 0.0) for i, v in rows]))
+    assert sorted((r.vec_id, r.component_id) for r in near.collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 0), (2, 0), (2, 0)]
+
+
+def test_near_vectors_keep_the_type_of_labels(spark):
+    rows = [(0, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (2, [1.0, 0.01], "a"), (3, [1.0, 0.0], None)]
+    for kind, of in (("string", str), ("double", {"a": 1.2, "b": 1.7}.get)):
+        table = spark.createDataFrame([(i, v, of(x) if x else None) for i, v, x in rows], f"vec_id long, embedding array<float>, label {kind}")
+        assert sorted((r.vec_id, r.component_id, r.n_links) for r in egojoin.near_vectors(table).collect()) == [(0, 0, 1), (1, 1, 0), (2, 0, 1), (3, 3, 0)]
+
+
 # --- tokens
 
 
