@@ -1,12 +1,15 @@
 """The training-data pipeline over ``documents``: five stages, each on all its predecessor kept.
 
 1. quality      rows that the quality classifier rejects go.
-2. near_dedup   one document of each group of near copies stays (five-word shingles, 0.8).
+2. near_dedup   one document of each group of near copies stays (five-word shingles, 0.8), and one of rows that
+                repeat an id and a text.
 3. secrets      every span that the secret scan finds is masked in the text.
 4. mixing       a document appears as many times as the mix takes it; those not taken go.
 5. encoding     every text is encoded and decoded; ids are counted and digested.
 
-Each function takes (spark, docs, sf_dir).  All but the last return the columns of docs.
+Each function takes (spark, docs, sf_dir).  All but the last return the columns of docs, whatever further ones there are.
+Defined results: an empty table gives an empty table; a null text is as an empty one and is judged by its score, links with
+nothing, holds no secret and, having no words, is not mixed in; a row with a null id links with nothing.
 """
 
 from __future__ import annotations
@@ -32,9 +35,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept document of every group; texts without a word link with nothing and stay."""
-    kept = setsketch.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    """The kept document of every group; texts without a word link with nothing and stay.
+
+    Of rows that repeat an id (or have none) and a text, the least stays.
+    """
+    near = staged(setsketch.near_duplicates(docs, k=5, percent=80))
+    # written, so that the joins know how small they are; few are dropped, and hardly any id repeats
+    dropped = staged(near.where("not kept").select(F.col("doc_id").alias("of")).distinct())
+    again = staged(near.where("kept").groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("times")).where("times > 1").select("of"))
+    docs = docs.join(dropped, docs.doc_id.eqNullSafe(dropped.of), "left_anti")
+    single = docs.join(again, docs.doc_id.eqNullSafe(again.of), "left_anti")
+    many = docs.join(again, docs.doc_id.eqNullSafe(again.of), "left_semi")
+    one = many.groupBy("doc_id", "text").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row"))
+    return single.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +57,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id",))
-    mixed = mixing.mix(docs, keep=others).where("size > 0 and taken > 0")
+    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    mixed = mixing.mix(rows, keep=("row",)).where("size > 0 and taken > 0")
     times = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
-    return mixed.withColumn("copy", F.explode(times)).select(*docs.columns)
+    return mixed.select("row", F.explode(times)).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
