@@ -539,3 +539,72 @@ def test_pipeline_stages_against_brute_force(spark):
     assert {i: n for i, n in taken.items() if n} == {r.doc_id: sum(x.doc_id == r.doc_id for x in mixed) for r in mixed}
     last = P.STAGES[-1][1](spark, docs, SF).collect()
     assert len(last) == len(mixed) and json.dumps(sorted(r.doc_id for r in last)) == json.dumps(sorted(r.doc_id for r in mixed))
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, spans string, row string, size int, component string"
+    rng = random.Random(17)
+    text = _prose(rng, 40)
+    rows = [(1, text), (1, text), (2, text + " more"), (3, None), (3, None), (None, "no id here at all " + text[:30]), (None, "no id here at all " + text[:30]), (4, ""), (5, "password = hunter22 " + _prose(rng, 30))]
+    table = lambda rows: spark.createDataFrame([(i, t, "en", None, len(t or ""), "s", "r", 7, "c") for i, t in rows], schema)
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, table([]), SF).columns == table([]).columns and stage(spark, table([]), SF).count() == 0, name
+        assert stage(spark, table(rows), SF).columns == table(rows).columns, name
+    kept = P.near_dedup(spark, table(rows), SF).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == sorted({(i or -1, t or "") for i, t in rows if i != 2})
+    masked = P.secret_scan(spark, table(rows), SF).collect()
+    assert len(masked) == len(rows) and [r.n_chars == len(r.text) for r in masked if r.doc_id == 5] == [True]
+    assert all((r.spans, r.row, r.size, r.component) == ("s", "r", 7, "c") for r in masked)
+    assert P.encoding(spark, table([]), SF).count() == 0 and P.encoding(spark, table(rows), SF).count() == len(rows)
+
+
+def test_near_duplicates_of_large_groups(spark, monkeypatch):
+    # small blocks, so that one bucket is cut into several; edits from few words, so that copies share them
+    monkeypatch.setattr(setsketch, "BLOCK_NODES", 12)
+    monkeypatch.setattr(setsketch, "SMALL", 4)
+    rng = random.Random(18)
+    base, line = _prose(rng, 60).split(), _prose(rng, 12)
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = rng.choice(["red", "green", "blue"])
+        texts.append(" ".join(w[: rng.choice([60, 60, 60, 48, 40])]))
+    texts += [texts[0]] * 20 + [f"{line} {_prose(rng, 30)} {line}" for _ in range(40)]
+    for k in (4, 5):
+        want = _brute_components(dict(enumerate(texts)), k, 80)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(_docs(spark, texts), k=k, percent=80).collect()}
+        assert got == want
+
+
+def test_near_duplicates_of_one_id_with_many_texts(spark):
+    rng = random.Random(19)
+    a, b, c = (_prose(rng, n) for n in (50, 12, 30))
+    rows = setsketch.near_duplicates(_docs(spark, [a, b, a + " end", b, c], [7, 7, 3, 9, 8]), k=4, percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(3, 3), (7, 3), (7, 3), (8, 8), (9, 3)]
+
+
+def test_mix_buckets_are_even_for_any_quality(spark):
+    from pyspark.sql import functions as F
+
+    one = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(3).cast("long").alias("size"), F.lit(0.36).alias("quality"))
+    two = spark.range(60_000, 120_000).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit(2).cast("long").alias("size"), (0.05 + (F.col("id") % 20) / 20.0).alias("quality"))
+    rows = one.union(two).withColumn("key", mixing.key_of(F.col("doc_id"), F.col("quality"), "s"))
+    aims = mixing.plan(rows)
+    counts = mixing._bucketed(rows, aims).groupBy("source", "bucket").count().collect()
+    assert max(r["count"] for r in counts) <= 1.5 * mixing.BUCKET and len(counts) >= 28
+
+
+def test_mix_of_repeated_rows_and_a_given_quality(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a b c", "d e"] * 6
+    rows = mixing.mix(_docs(spark, texts, [1, 2] * 6)).collect()
+    assert len(rows) == 12 and len({(r.doc_id, r.taken) for r in rows}) == 2 and all(r.taken in (0, r.size, 2 * r.size) for r in rows)
+    # documents of low quality are taken less often
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    got = mixing.mix(docs, share=0.5, weights=(1, 1), quality=F.when(F.col("doc_id") % 4 < 2, 0.1).otherwise(1.0)).groupBy((F.col("doc_id") % 4 < 2).alias("low")).agg(F.sum("taken").alias("n")).collect()
+    by = {r.low: r.n for r in got}
+    assert by[True] < 0.4 * by[False] and abs(by[True] + by[False] - 2000) <= 4
