@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct white-space-free chunks a worker remembers; then it starts anew.
-REMEMBERED = 250_000
-#: Arc lookups and automaton states a worker remembers; then either starts anew.
-ARCS, STATES = 1_000_000, 400_000
+REMEMBERED = 100_000
+#: Arc lookups and automaton states a worker remembers (some 0.5 kB a state); then either starts anew.
+ARCS, STATES = 200_000, 60_000
 
 #: Fixed: white space that str.split() cuts at but the tokenizer's \s does not.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -112,14 +112,17 @@ class Automaton:
             self.length[i] = len(own)
             if at:
                 self.token[at] = i
+        self.next = [x or None for x in self.next]
         self._begin()
 
     def _begin(self) -> None:
         """Only the start state: no arc under way, no token behind."""
-        self.under_way: list[tuple] = [((0, -1),)]
+        self.under_way: list[tuple] = [(0,)]
         self.last = [-1]
-        self.table: list[dict[str, int]] = [{}]
-        self.number: dict[tuple, int] = {self.under_way[0]: 0}
+        self.number: dict[tuple, int] = {}
+        # by state and character: the next state, and the last token of a word that ends there
+        self.table: dict[int, int] = {}
+        self.final: dict[int, int] = {}
 
     def _walk(self, p: int, t: int) -> bool:
         """Is there an arc t in the state behind p?"""
@@ -146,44 +149,52 @@ class Automaton:
             got = self.arcs[key] = self._walk(p, t)
         return got
 
-    def _step(self, state: int, c: str) -> int:
-        """The transition that is not in the table yet."""
-        going, done = [], -1
-        for node, behind in self.under_way[state]:
-            to = self.next[node].get(c)
+    def _over(self, state: int, c: str) -> tuple[list[int], int]:
+        """The arcs still under way after c, as (place in its spelling, token behind) in one number, and the one arc that ends with c."""
+        going, done, size = [], -1, self.size + 1
+        for arc in self.under_way[state]:
+            node, behind = divmod(arc, size)
+            to = (self.next[node] or {}).get(c)
             if to is None:
                 continue
             if self.next[to]:
-                going.append((to, behind))
+                going.append(to * size + behind)
             t = self.token[to]
-            if t >= 0 and done < 0 and (behind < 0 or self.arc(behind, t)):
+            if t >= 0 and done < 0 and (not behind or self.arc(behind - 1, t)):
                 done = t
         if done < 0:
             raise ValueError("the vocabulary lacks a symbol of this word")
-        key = (*going, (0, done))
+        return going, done
+
+    def _step(self, state: int, c: str, at: int) -> int:
+        """A transition that is not in the table yet."""
+        going, done = self._over(state, c)
+        key = (*going, done + 1)
         to = self.number.get(key)
         if to is None:
-            to = self.number[key] = len(self.table)
+            to = self.number[key] = len(self.last)
             self.under_way.append(key)
             self.last.append(done)
-            self.table.append({})
-        self.table[state][c] = to
+        self.table[at] = to
         return to
 
     def encode(self, word: str) -> list[int]:
         """The ids along the one path that spells word and its end mark."""
         if not word:
             return []
-        if len(self.table) > STATES:
+        if max(len(self.last), len(self.final)) > STATES:
             self._begin()
         table, last, state, seen = self.table, self.last, 0, []
         for c in word[:-1]:
-            to = table[state].get(c)
-            state = self._step(state, c) if to is None else to
+            at = state << 21 | ord(c)
+            to = table.get(at)
+            state = self._step(state, c, at) if to is None else to
             seen.append(last[state])
-        c = word[-1] + self.suffix
-        to = table[state].get(c)
-        seen.append(last[self._step(state, c) if to is None else to])
+        at = state << 21 | ord(word[-1])
+        t = self.final.get(at)
+        if t is None:
+            t = self.final[at] = self._over(state, word[-1] + self.suffix)[1]
+        seen.append(t)
         at, length, out = len(seen), self.length, []
         while at:
             t = seen[at - 1]
