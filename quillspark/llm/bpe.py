@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.buffers import tidy
+
 #: Distinct white-space-free chunks a worker remembers; then it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 120_000
 #: Arc lookups and automaton states a worker remembers (some 0.5 kB a state); then either starts anew.
 ARCS, STATES = 200_000, 60_000
 
@@ -265,6 +267,7 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+@tidy
 def _encoded(batches, path: str, limit: int):
     t = tokenizer(path)
     for b in batches:

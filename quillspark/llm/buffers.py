@@ -5,7 +5,9 @@ Every function takes all bytes of all texts.  A null text counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def tidy(f: Callable) -> Callable:
+    """f over batches; after the last one the worker's free memory goes back to the system, as the worker lives on beside later stages."""
+
+    @functools.wraps(f)
+    def run(batches, *args, **kwargs):
+        try:
+            yield from f(batches, *args, **kwargs)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     h = h + np.uint64((salt * 0xD1B54A32D192ED03 + 0x2545F4914F6CDD1D) & (2**64 - 1))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.buffers import SPACE, span_hash, texts, words
+from quillspark.llm.buffers import SPACE, span_hash, texts, tidy, words
 from quillspark.llm.toxicity import labelled_sample
 
 #: Bounds: labelled documents it is trained on, bits of the bucket table, size of a vector.
@@ -115,6 +115,7 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE)
     return Model(vectors, output, bias)
 
 
+@tidy
 def _scored(batches, table: np.ndarray, bias: float, threshold: float):
     for b in batches:
         for lo, hi, data, at in texts(b.column("text"), 1 << 18):
@@ -139,6 +140,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold:
     return score(docs, train(labelled_sample(docs, labels, "quality", sample)), threshold)
 
 
+@tidy
 def _passed(batches, table: np.ndarray, bias: float, threshold: float):
     for b in batches:
         keep = []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.buffers import LOWER, mixed, span_hash, texts, words
+from quillspark.llm.buffers import LOWER, give_back, mixed, span_hash, texts, tidy, words
 from quillspark.plans.graph import connected_components
 from quillspark.plans.staging import Scratch, staged
 
@@ -38,7 +38,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Likelihood estimates this far under the threshold are dropped: five standard errors at 0.8.
 SLACK = 5 * np.sqrt(0.8 * 0.2 / REGISTERS)
 #: Buckets up to this many nodes compare pairs; blocks of larger ones hold about so many nodes and shingles.
-SMALL, BLOCK_NODES, BLOCK_SHINGLES = 16, 1024, 1 << 20
+SMALL, BLOCK_NODES, BLOCK_SHINGLES = 16, 512, 1 << 18
 #: Shingles of two blocks that are multiplied at once.
 WIDTH = 4096
 #: Ids or pairs up to this many (16 bytes each) are broadcast.
@@ -86,6 +86,7 @@ def registers(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(np.maximum(draw, 1e-300)) / np.log(BASE)), 0, TOP + 1).astype("<u2")
 
 
+@tidy
 def _sketches(batches, k: int):
     for b in batches:
         ids = b.column("doc_id")
@@ -107,6 +108,7 @@ def _sketches(batches, k: int):
             )
 
 
+@tidy
 def _sets(batches, k: int):
     for b in batches:
         ids = b.column("doc_id")
@@ -131,15 +133,20 @@ def estimate(nu, nv, above, equal, below) -> np.ndarray:
     return j[np.arange(len(j)), fit.argmax(1)]
 
 
+@tidy
 def _likely(batches, percent: int):
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("ra", "rb"))
         if not len(x):
             continue
-        j = estimate(b.column("na").to_numpy(), b.column("nb").to_numpy(), (x > y).sum(1), (x == y).sum(1), (x < y).sum(1))
+        # a thousand at a time: each has a likelihood at every step of similarity
+        na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+        parts = [slice(i, i + 1000) for i in range(0, len(x), 1000)]
+        j = np.concatenate([estimate(na[p], nb[p], (x[p] > y[p]).sum(1), (x[p] == y[p]).sum(1), (x[p] < y[p]).sum(1)) for p in parts])
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(j >= percent / 100 - SLACK))
 
 
+@tidy
 def _linked(batches, percent: int):
     for b in batches:
         sets = [[np.frombuffer(s.as_buffer(), np.uint64) for s in b.column(c)] for c in ("sa", "sb")]
@@ -185,6 +192,8 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
         hit = (100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
         i, j = np.nonzero(hit)
         out = np.unique(np.stack([comp[x[i]], comp[y[j]]], 1), axis=0)
+        del both, hit, i, j, sets
+        give_back()
     return pa.table({"u": pa.array(out[:, 0]), "v": pa.array(out[:, 1])})
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.buffers import SPACE, texts
+from quillspark.llm.buffers import SPACE, texts, tidy
 
 #: Labelled texts longer than this are not learned from (all are scored whole).
 LONGEST = 200_000
@@ -333,6 +333,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, sample: int
     return list(zip(got["text"].to_pylist(), got["y"].to_pylist(), strict=True))
 
 
+@tidy
 def _scored(batches, machine: Machine, threshold: float):
     for b in batches:
         for lo, hi, data, at in texts(b.column("text"), 1 << 18):
