@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.buffers import tidy
 
 #: Distinct white-space-free chunks a worker remembers; then it starts anew.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 #: Arc lookups and automaton states a worker remembers (some 0.5 kB a state); then either starts anew.
 ARCS, STATES = 200_000, 60_000
 
@@ -224,6 +224,12 @@ class Tokenizer:
         self.letters = _byte_letters()
         self.known: dict[str, tuple[bytes, str]] = {}
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts; the compiled merges stay."""
+        self.known.clear()
+        self.automaton.arcs.clear()
+        self.automaton._begin()
+
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         ids: list[int] = []
         # letters, or letters with one mark behind, need no pattern to be split
@@ -270,26 +276,33 @@ def tokenizer(path: str) -> Tokenizer:
 @tidy
 def _encoded(batches, path: str, limit: int):
     t = tokenizer(path)
-    for b in batches:
-        ids, texts = b.column("doc_id"), b.column("text")
-        lo = 0
-        while lo < len(texts):
-            packed, labels, size, hi = [], [], 0, lo
-            while hi < len(texts) and size < limit:
-                text = texts[hi].as_py() or ""
-                size += len(text)
-                x, y = t.encode(text)
-                packed.append(x)
-                labels.append(y)
-                hi += 1
-            count = np.array([len(x) // 4 for x in packed], np.int64)
-            at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(count), pa.ListArray.from_arrays(pa.array(at), values), pa.array(labels, pa.string())],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
-            )
-            lo = hi
+    try:
+        for b in batches:
+            yield from _encoded_batch(t, b, limit)
+    finally:
+        t.forget()
+
+
+def _encoded_batch(t: Tokenizer, b: pa.RecordBatch, limit: int):
+    ids, texts = b.column("doc_id"), b.column("text")
+    lo = 0
+    while lo < len(texts):
+        packed, labels, size, hi = [], [], 0, lo
+        while hi < len(texts) and size < limit:
+            text = texts[hi].as_py() or ""
+            size += len(text)
+            x, y = t.encode(text)
+            packed.append(x)
+            labels.append(y)
+            hi += 1
+        count = np.array([len(x) // 4 for x in packed], np.int64)
+        at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+        yield pa.RecordBatch.from_arrays(
+            [ids.slice(lo, hi - lo), pa.array(count), pa.ListArray.from_arrays(pa.array(at), values), pa.array(labels, pa.string())],
+            names=["doc_id", "n_tokens", "ids", "decoded"],
+        )
+        lo = hi
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 21) -> DataFrame:
