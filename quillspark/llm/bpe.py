@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.buffers import tidy
 
 #: Distinct white-space-free chunks a worker remembers; then it starts anew.
-REMEMBERED = 80_000
+REMEMBERED = 160_000
 #: Arc lookups and automaton states a worker remembers (some 0.5 kB a state); then either starts anew.
-ARCS, STATES = 200_000, 60_000
+ARCS, STATES = 200_000, 80_000
 
 #: Fixed: white space that str.split() cuts at but the tokenizer's \s does not.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -122,9 +122,8 @@ class Automaton:
         self.under_way: list[tuple] = [(0,)]
         self.last = [-1]
         self.number: dict[tuple, int] = {}
-        # by state and character: the next state, and the last token of a word that ends there
-        self.table: dict[int, int] = {}
-        self.final: dict[int, int] = {}
+        # of each state, by character: the next state; by a last character with its end mark: the last token
+        self.table: list[dict[str, int]] = [{}]
 
     def _walk(self, p: int, t: int) -> bool:
         """Is there an arc t in the state behind p?"""
@@ -168,7 +167,7 @@ class Automaton:
             raise ValueError("the vocabulary lacks a symbol of this word")
         return going, done
 
-    def _step(self, state: int, c: str, at: int) -> int:
+    def _step(self, state: int, c: str) -> int:
         """A transition that is not in the table yet."""
         going, done = self._over(state, c)
         key = (*going, done + 1)
@@ -177,25 +176,26 @@ class Automaton:
             to = self.number[key] = len(self.last)
             self.under_way.append(key)
             self.last.append(done)
-        self.table[at] = to
+            self.table.append({})
+        self.table[state][c] = to
         return to
 
     def encode(self, word: str) -> list[int]:
         """The ids along the one path that spells word and its end mark."""
         if not word:
             return []
-        if max(len(self.last), len(self.final)) > STATES:
+        if len(self.last) > STATES:
             self._begin()
         table, last, state, seen = self.table, self.last, 0, []
         for c in word[:-1]:
-            at = state << 21 | ord(c)
-            to = table.get(at)
-            state = self._step(state, c, at) if to is None else to
+            to = table[state].get(c)
+            state = self._step(state, c) if to is None else to
             seen.append(last[state])
-        at = state << 21 | ord(word[-1])
-        t = self.final.get(at)
+        # without an end mark the last character needs a key of its own as well
+        c = word[-1] + (self.suffix or "$$")
+        t = table[state].get(c)
         if t is None:
-            t = self.final[at] = self._over(state, word[-1] + self.suffix)[1]
+            t = table[state][c] = self._over(state, word[-1] + self.suffix)[1]
         seen.append(t)
         at, length, out = len(seen), self.length, []
         while at:
