@@ -25,6 +25,8 @@ import json
 import unicodedata
 from array import array
 from functools import lru_cache, partial
+from itertools import accumulate
+from operator import getitem
 
 import numpy as np
 import pyarrow as pa
@@ -119,11 +121,10 @@ class Automaton:
 
     def _begin(self) -> None:
         """Only the start state: no arc under way, no token behind."""
-        self.under_way: list[tuple] = [(0,)]
-        self.last = [-1]
-        self.number: dict[tuple, int] = {}
-        # of each state, by character: the next state; by a last character with its end mark: the last token
-        self.table: list[dict[str, int]] = [{}]
+        for state in getattr(self, "number", {}).values():
+            state.clear()  # states name each other, so they would outlive the table
+        self.initial = State(self, (0,), -1)
+        self.number: dict[tuple, State] = {(): self.initial}
 
     def _walk(self, p: int, t: int) -> bool:
         """Is there an arc t in the state behind p?"""
@@ -150,10 +151,10 @@ class Automaton:
             got = self.arcs[key] = self._walk(p, t)
         return got
 
-    def _over(self, state: int, c: str) -> tuple[list[int], int]:
+    def _over(self, state: State, c: str) -> tuple[list[int], int]:
         """The arcs still under way after c, as (place in its spelling, token behind) in one number, and the one arc that ends with c."""
         going, done, size = [], -1, self.size + 1
-        for arc in self.under_way[state]:
+        for arc in state.under_way:
             node, behind = divmod(arc, size)
             to = (self.next[node] or {}).get(c)
             if to is None:
@@ -167,45 +168,51 @@ class Automaton:
             raise ValueError("the vocabulary lacks a symbol of this word")
         return going, done
 
-    def _step(self, state: int, c: str) -> int:
+    def step(self, state: State, c: str) -> State:
         """A transition that is not in the table yet."""
         going, done = self._over(state, c)
         key = (*going, done + 1)
         to = self.number.get(key)
         if to is None:
-            to = self.number[key] = len(self.last)
-            self.under_way.append(key)
-            self.last.append(done)
-            self.table.append({})
-        self.table[state][c] = to
+            to = self.number[key] = State(self, key, done)
+        state[c] = to
         return to
 
     def encode(self, word: str) -> list[int]:
         """The ids along the one path that spells word and its end mark."""
         if not word:
             return []
-        if len(self.last) > STATES:
+        if len(self.number) > STATES:
             self._begin()
-        table, last, state, seen = self.table, self.last, 0, []
-        for c in word[:-1]:
-            to = table[state].get(c)
-            state = self._step(state, c) if to is None else to
-            seen.append(last[state])
+        # the states after 0, 1, 2, ... characters, all but the last one
+        seen = list(accumulate(word[:-1], getitem, initial=self.initial))
         # without an end mark the last character needs a key of its own as well
+        end = seen[-1]
         c = word[-1] + (self.suffix or "$$")
-        t = table[state].get(c)
+        t = end.get(c)
         if t is None:
-            t = table[state][c] = self._over(state, word[-1] + self.suffix)[1]
-        seen.append(t)
-        at, length, out = len(seen), self.length, []
+            t = end[c] = self._over(end, word[-1] + self.suffix)[1]
+        at, length, out = len(seen) - self.length[t], self.length, [t]
         while at:
-            t = seen[at - 1]
+            t = seen[at].last
             out.append(t)
             at -= length[t]
         out.reverse()
         return out
 
 
+class State(dict):
+    """One row of the transition table, by character: the next state; by a last character with its end mark: the last token."""
+
+    __slots__ = ("automaton", "under_way", "last")
+
+    def __init__(self, automaton: Automaton, under_way: tuple, last: int):
+        self.automaton, self.under_way, self.last = automaton, under_way, last
+
+    def __missing__(self, c: str) -> State:
+        return self.automaton.step(self, c)
+
+
 class Tokenizer:
     """Normalising, splitting and the automaton, as the tokenizer's file describes them."""
 
@@ -236,8 +243,7 @@ class Tokenizer:
         pieces = [chunk] if chunk.isalpha() else [chunk[:-1], chunk[-1]] if chunk[-1] in ".,!?" and chunk[:-1].isalpha() else self.piece.findall(chunk)
         for w in pieces:
             ids += self.automaton.encode(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters))
-        label = self.automaton.label
-        got = array("i", ids).tobytes(), " ".join(label[i] for i in ids)
+        got = array("i", ids).tobytes(), " ".join(map(self.automaton.label.__getitem__, ids))
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         if len(chunk) < 64:

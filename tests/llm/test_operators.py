@@ -197,7 +197,7 @@ def test_automaton_forgets_states_and_stays_right():
         for _ in range(300):
             word = "".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 30)))
             assert np.frombuffer(own.encode(word)[0], "<i4").tolist() == ref.encode(word, add_special_tokens=False).ids
-            assert len(own.automaton.last) < 50 + 31
+            assert len(own.automaton.number) < 50 + 31
     finally:
         bpe.STATES = states
 
