@@ -21,6 +21,7 @@ further columns are not read, repeated rows give repeated results.
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 from array import array
@@ -276,7 +277,9 @@ class Tokenizer:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    made = Tokenizer(path)
+    gc.freeze()  # its hundred thousand tables live as long as the worker; no collection need walk them
+    return made
 
 
 @tidy
