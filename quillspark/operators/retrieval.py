@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
@@ -122,12 +127,56 @@ def dense_join(vectors: DataFrame, records: DataFrame) -> DataFrame:
     return vectors.join(records.select("record_id", "stream_hash"), "stream_hash")
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+    """The rows packed into about `size` a block, dealt by a hash of all their columns, and how many blocks there are."""
+    n = max(1, -(-rows.count() // size))
+    packed = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(F.struct(*rows.columns)).alias(f"{name}_rows"))
+    return packed, n
+
+
+def _matrix(column: pa.Array) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
+    """By length: the places of the vectors of that length and the vectors; those null or with null components are in none."""
+    sized: dict[int, list] = {}
+    for at, v in enumerate(column):
+        if v.is_valid and not v.values.null_count:
+            sized.setdefault(len(v.values), []).append((at, v.values.to_numpy(zero_copy_only=False)))
+    return {n: (np.array([at for at, _ in vs]), np.array([v for _, v in vs], np.float64).reshape(len(vs), n)) for n, vs in sized.items()}, len(column)
+
+
+def _block_cosines(batches, kinds: list, rows_out: int = 1 << 18):
+    """Every query of a block with every vector of a block.  Summed pair by pair, so equal vectors get equal similarities wherever they stand."""
+    schema = pa.schema(kinds)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            q, v = (batch.column(batch.schema.get_field_index(c))[i].values for c in ("q_rows", "v_rows"))
+            (qs, n_q), (vs, n_v) = _matrix(q.field("qvec")), _matrix(v.field("embedding"))
+            similar = np.zeros((n_q, n_v))
+            for n in qs.keys() & vs.keys():
+                (at_q, x), (at_v, y) = qs[n], vs[n]
+                norm = np.sqrt(np.einsum("ik,ik->i", x, x))[:, None] * np.sqrt(np.einsum("jk,jk->j", y, y))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cos = np.einsum("ik,jk->ij", x, y) / norm
+                similar[np.ix_(at_q, at_v)] = np.where(norm == 0, 0.0, cos)
+            step = max(1, rows_out // n_v)
+            for lo in range(0, n_q, step):
+                part = similar[lo : lo + step]
+                of_q, of_v = (pa.array(x.ravel()) for x in np.indices(part.shape))
+                columns = [q.field("query_id").slice(lo, step).take(of_q), v.field("record_id").take(of_v), v.field("vec_id").take(of_v), pa.array(part.ravel())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def dense_scores(queries: DataFrame, vectors: DataFrame, query_block: int = 512, vector_block: int = 4096) -> DataFrame:
     """queries(query_id, qvec), vectors(record_id, vec_id, embedding, ...) -> query_id, record_id, vec_id, similarity.
 
-    One scan of the vectors for all queries; the query set is stated and small against the vectors, so Spark broadcasts it.
+    The cosine of every query with every vector, 0 where lengths differ, a norm is 0 or a vector or component is null.  Both sides are
+    packed into blocks and each pair of blocks is one row of an equi-join, so nothing is broadcast by hint and no task holds more than blocks.
     """
-    return vectors.join(F.broadcast(queries)).select("query_id", "record_id", "vec_id", cosine(F.col("qvec"), F.col("embedding")).alias("similarity"))
+    q, _ = _in_blocks(queries.select("query_id", "qvec"), "q", query_block)
+    v, n = _in_blocks(vectors.select("record_id", "vec_id", "embedding"), "v", vector_block)
+    pairs = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(v, "v").select("q_rows", "v_rows")
+    out = StructType([queries.schema["query_id"], vectors.schema["record_id"], vectors.schema["vec_id"], StructField("similarity", DoubleType())])
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in out]
+    return pairs.mapInArrow(partial(_block_cosines, kinds=kinds), out)
 
 
 def pool_max(scores: DataFrame) -> DataFrame:
@@ -231,10 +280,9 @@ def membership_filter(ranked: DataFrame, members: DataFrame, limit: int, over: i
 
 
 def similarity_pairs(vectors: DataFrame, record: str) -> DataFrame:
-    """Every vector of the record with every vector of other records; one record's vectors are few and broadcast."""
-    mine = vectors.where(F.col("record_id") == record).select(F.col("vec_id").alias("mine"), F.col("embedding").alias("m"))
-    others = vectors.where(F.col("record_id") != record)
-    return others.join(F.broadcast(mine)).select("record_id", "mine", F.col("vec_id").alias("other"), cosine(F.col("m"), F.col("embedding")).alias("similarity"))
+    """Every vector of the record with every vector of other records."""
+    mine = vectors.where(F.col("record_id") == record).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return dense_scores(mine, vectors.where(F.col("record_id") != record)).select("record_id", F.col("query_id").alias("mine"), F.col("vec_id").alias("other"), "similarity")
 
 
 def similar(vectors: DataFrame, record: str, limit: int) -> DataFrame:
@@ -243,6 +291,13 @@ def similar(vectors: DataFrame, record: str, limit: int) -> DataFrame:
     return best.orderBy(F.desc("score"), "record_id").limit(limit)
 
 
+def similar_all(vectors: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """seeds(record_id) -> query_id, record_id, score, rank: `similar` for many records at once; a seed without vectors has no rows."""
+    mine = vectors.join(seeds.select("record_id"), "record_id", "left_semi").select(F.col("record_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    best = dense_scores(mine, vectors).where("query_id <> record_id").groupBy("query_id", "record_id").agg(F.max("similarity").alias("score"))
+    return signal_rank(best, limit)
+
+
 def centroid(vectors: DataFrame) -> DataFrame:
     """record_id, centroid, n: the normalised sum of a record's vectors; null if they differ in length or cancel out."""
     sizes = vectors.groupBy("record_id").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi"))

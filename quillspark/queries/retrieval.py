@@ -27,7 +27,7 @@ def _vectors(spark, d):
 
 
 def _qvecs(spark, d):
-    return _vectors(spark, d).where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return _vectors(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
 _LEX = """p as (select record_id, no as passage_id, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') as t from (
@@ -42,7 +42,7 @@ _LEX = """p as (select record_id, no as passage_id, regexp_extract_all(lower(bod
     from h join dfs using (query_id, term_no) cross join st group by all),
   lexp as (select sc.* exclude (found) from sc join (select query_id, count(*) as need from qt group by 1) using (query_id) where found = need),
   lex as (select query_id, record_id, score, row_number() over (partition by query_id order by score desc, record_id) as rank from (select query_id, record_id, max(score) as score from lexp group by all))"""
-_DENSE = """qv as (select vec_id as query_id, embedding::double[] as qvec from embeddings where vec_id < 20),
+_DENSE = """qv as (select vec_id as query_id, embedding::double[] as qvec from embeddings where vec_id % 20 = 0),
   ds as (select query_id, record_id, vec_id, list_cosine_similarity(qvec, embedding::double[]) as similarity from fx_vectors, qv),
   top3 as (select query_id, record_id, avg(similarity) as score from (select *, row_number() over (partition by query_id, record_id order by similarity desc, vec_id) as r from ds) where r <= 3 group by all),
   den as (select *, row_number() over (partition by query_id order by score desc, record_id) as rank from top3 where score >= 0.1)"""
@@ -226,6 +226,16 @@ def similar(spark, d):
     return R.similar(_vectors(spark, d), "doc-5", 10).withColumn("score", F.round("score", 6))
 
 
+@query("""with b as (select a.record_id as query_id, b.record_id, max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])) as score
+    from (select * from fx_vectors where vec_id % 20 = 0) s join fx_vectors a on a.record_id = s.record_id join fx_vectors b on b.record_id <> a.record_id group by all)
+  select query_id, record_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, record_id) as rank from b qualify rank <= 10""")
+def similar_all(spark, d):
+    """For every record that has a vector of the query set: all its vectors against all vectors."""
+    v = _vectors(spark, d)
+    got = R.similar_all(v, v.where("vec_id % 20 = 0").select("record_id").distinct(), 10)
+    return got.select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("""with x as (select record_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as pos from fx_vectors), s as (select record_id, pos, sum(v) as v from x group by all),
   n as (select record_id, sqrt(sum(v * v)) as norm from s group by 1) select record_id, count(*) as dims, round(sum(v / norm), 3) as total, (select count(*) from fx_vectors f where f.record_id = s.record_id) as n from s join n using (record_id) group by 1""")
 def centroid(spark, d):

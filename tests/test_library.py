@@ -78,6 +78,23 @@ def test_cosine_edges(spark):
     assert [r[0] for r in rows.select(retrieval.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, -1.0, 0.0, 0.0]
 
 
+def test_blocks_of_scores_equal_every_pair(spark):
+    vectors = [("a", 1, [1.0, 0.0]), ("a", 2, [3.0, 4.0]), ("b", 3, [0.0, 0.0]), ("b", 4, [1.0]), ("c", 5, None), ("c", 6, [1.0, None]), ("d", 7, []), ("a", 1, [1.0, 0.0])]
+    v = spark.createDataFrame(vectors, "record_id string, vec_id int, embedding array<float>")
+    q = spark.createDataFrame([("x", [0.6, 0.8]), ("y", [2.0]), ("z", None), ("x", [0.6, 0.8])], "query_id string, qvec array<float>")
+    want = sorted((a.query_id, b[0], b[1], round(c, 6)) for a in q.collect() for b in vectors for c in [_cos(a.qvec, b[2])])
+    for blocks in ((512, 4096), (1, 2)):
+        got = retrieval.dense_scores(q, v, *blocks)
+        assert sorted((r.query_id, r.record_id, r.vec_id, round(r.similarity, 6)) for r in got.collect()) == want
+    assert retrieval.dense_scores(q, v.where("false")).count() == 0 and retrieval.dense_scores(q.where("false"), v).count() == 0
+
+
+def _cos(a, b):
+    if a is None or b is None or None in a + b or len(a) != len(b) or not any(a) or not any(b):
+        return 0.0
+    return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+
 def test_chunks_cover_the_text_and_keep_characters():
     raw = ("é🙂 line\n" * 200).encode()
     spans = outline._cut(raw, 97)
