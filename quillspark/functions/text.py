@@ -244,6 +244,12 @@ def rewrite_tags(text: Column, change) -> Column:
     return F.array_join(F.filter(F.transform(lines(text), line), lambda x: x.isNotNull()), "\n")
 
 
+def strip_tags(text: Column, tags: list[str]) -> Column:
+    """Without these tags, in whatever spelling, on #+filetags: lines; an emptied line goes."""
+    gone = F.array(*[normalize_tag(F.lit(t)) for t in tags])
+    return rewrite_tags(text, lambda t: F.when(F.array_contains(gone, normalize_tag(t)), "").otherwise(t))
+
+
 def place_tags(text: Column, tags: Column) -> Column:
     """Tags added to the #+filetags: line, or on such a line put in front."""
     added = F.concat(F.array_join(tags, ":"), F.lit(":"))

@@ -248,6 +248,12 @@ def synthesize_submission(spark, d):
     return r.select("record_id", T.synthesize_submission(text, F.concat(F.lit("new-"), F.col("record_id"))).alias("text"))
 
 
+@query("select record_id, sha256(replace(text, ':MixedCase:', ':')) as h from fx_notes")
+def strip_tags(spark, d):
+    notes = fixture(spark, d, "fx_notes")
+    return notes.select("record_id", F.sha2(T.strip_tags(F.col("text"), ["mixed-case", "absent"]), 256).alias("h"))
+
+
 @query()
 def place_tags(spark, d):
     n = _notes(spark, d)

@@ -59,6 +59,11 @@ def test_tags_by_case_and_marks(spark):
     assert [r[0] for r in rows.select(T.normalize_tag(F.col("t"))).collect()] == ["silent-critic", "http-server", "ci-cd", "cicd", "a-b"]
 
 
+def test_strip_tags_in_any_spelling(spark):
+    rows = spark.createDataFrame([("#+FILETAGS: :aB:c:\n* x :a-b:",), ("t\n#+filetags: :a-b:\nu",), ("no tags",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(T.strip_tags(F.col("t"), ["a-b"])).collect()] == ["#+filetags: :c:\n* x :a-b:", "t\nu", "no tags", "", None]
+
+
 def test_rerank_moves_only_the_window(spark):
     hits = spark.createDataFrame([(1, x, i + 1) for i, x in enumerate("abcde")], "query_id int, record_id string, rank int")
     scores = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.9), (1, "c", 0.5)], "query_id int, record_id string, score double")
