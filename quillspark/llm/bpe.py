@@ -14,6 +14,9 @@ far.  States are numbered and their transitions kept in a table per state, fille
 first taken.  A word is one table step a character, without going back; its ids are read
 off the last tokens from the end.  Decoding joins the arc labels.
 
+Texts are taken some MB at a time as one array of bytes; every distinct chunk between white
+space goes through the automaton once, and ids and labels are then gathered chunk by chunk.
+
 Defined results: a null text counts as empty and gives no ids and an empty string; marks
 of the start and end of text in a text are their own ids, as in the tokenizers library;
 further columns are not read, repeated rows give repeated results.
@@ -23,52 +26,47 @@ from __future__ import annotations
 
 import gc
 import json
-import unicodedata
-from array import array
 from functools import lru_cache, partial
-from itertools import accumulate
-from operator import getitem
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.buffers import tidy
-
-#: Distinct white-space-free chunks a worker remembers; then it starts anew.
-REMEMBERED = 160_000
-#: Arc lookups and automaton states a worker remembers (some 0.5 kB a state); then either starts anew.
-ARCS, STATES = 200_000, 80_000
-
-#: Fixed: white space that str.split() cuts at but the tokenizer's \s does not.
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
-_TRUE_SPACE = regex.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
-
-#: Fixed: letters of the pattern library's tables that the tokenizer's tables do not count as letters.
-NOT_LETTERS = (
-    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d-\u209f\ua7cb-\ua7cc\ua7ce-\ua7cf\ua7d2\ua7d4\ua7da\ua7dc-\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
-    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010d50-\U00010d65\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1"
-    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2"
-    "\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
-    "\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
-    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
-)
-
-#: Fixed: the same for numbers.
-NOT_NUMBERS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
-#: Fixed: lower-case letters of the tokenizer's tables that str.lower() does not know yet.
-LATE_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
-LATE_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-_LATE = regex.compile("[\u1c89\ua7cb-\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
-
-
-def _byte_letters() -> dict[int, str]:
-    """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+from quillspark.llm.buffers import LOWER, SPACE, row_sums, texts, tidy, words
+
+#: Chunks that need the library's splitter a worker remembers within a task; then it starts anew.
+REMEMBERED = 40_000
+#: Arc lookups, transitions of long pieces and automaton states a worker remembers (some 0.4 kB a state); then each starts anew.
+ARCS, MOVES, STATES = 200_000, 100_000, 120_000
+#: Bytes of text whose pieces are told apart together; a longer text comes alone.
+TOGETHER = 1 << 22
+#: Pieces that go through the automaton side by side, and the symbols above which a piece goes alone.
+SIDE_BY_SIDE, ALONE = 1 << 14, 64
+#: A transition's key: state, end mark, symbol.
+_END, _KEY_BITS = 1 << 9, 10
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+#: Fixed: the byte-level alphabet.  Printable Latin-1 stands for itself, the other bytes follow from 256 on.
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+LETTER = np.zeros(256, np.int64)
+LETTER[_PLAIN] = _PLAIN
+LETTER[[b for b in range(256) if b not in set(_PLAIN)]] = 256 + np.arange(256 - len(_PLAIN))
+_BYTE = {chr(c): b for b, c in enumerate(LETTER)}
+
+#: Kinds of bytes in plain chunks, as the splitter tells them apart: letters, digits, the rest.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = 1
+_KIND[48:58] = 2
+#: Bytes of plain chunks: printable ASCII but for what begins a contraction or a mark of the file, and the lead of U+00C0 to U+00FF.
+_SIMPLE = np.zeros(256, bool)
+_SIMPLE[33:127] = True
+_SIMPLE[[0x27, 0x3C]] = False
+_SIMPLE[0xC3] = True
 
 
 class Automaton:
@@ -122,10 +120,11 @@ class Automaton:
 
     def _begin(self) -> None:
         """Only the start state: no arc under way, no token behind."""
-        for state in getattr(self, "number", {}).values():
-            state.clear()  # states name each other, so they would outlive the table
-        self.initial = State(self, (0,), -1)
-        self.number: dict[tuple, State] = {(): self.initial}
+        self.under_way: list[tuple] = [(0,)]
+        self.last = np.full(1 << 10, -1, np.int32)
+        self.number: dict[tuple, int] = {}
+        self.moves: dict[int, int] = {}
+        self.keys, self.values, self.held = np.full(1 << 12, -1, np.int64), np.zeros(1 << 12, np.int32), 0
 
     def _walk(self, p: int, t: int) -> bool:
         """Is there an arc t in the state behind p?"""
@@ -152,10 +151,10 @@ class Automaton:
             got = self.arcs[key] = self._walk(p, t)
         return got
 
-    def _over(self, state: State, c: str) -> tuple[list[int], int]:
+    def _over(self, state: int, c: str) -> tuple[list[int], int]:
         """The arcs still under way after c, as (place in its spelling, token behind) in one number, and the one arc that ends with c."""
         going, done, size = [], -1, self.size + 1
-        for arc in state.under_way:
+        for arc in self.under_way[state]:
             node, behind = divmod(arc, size)
             to = (self.next[node] or {}).get(c)
             if to is None:
@@ -169,53 +168,132 @@ class Automaton:
             raise ValueError("the vocabulary lacks a symbol of this word")
         return going, done
 
-    def step(self, state: State, c: str) -> State:
-        """A transition that is not in the table yet."""
+    def _target(self, key: int) -> int:
+        """Where a transition that is not in the table yet leads: a state; for a symbol with the end mark, the last token."""
+        state, c = key >> _KEY_BITS, chr(key & (_END - 1))
+        if key & _END:
+            return self._over(state, c + self.suffix)[1]
         going, done = self._over(state, c)
-        key = (*going, done + 1)
-        to = self.number.get(key)
+        of = (*going, done + 1)  # the last: a new arc behind the token that has just ended
+        to = self.number.get(of)
         if to is None:
-            to = self.number[key] = State(self, key, done)
-        state[c] = to
+            to = self.number[of] = len(self.under_way)
+            self.under_way.append(of)
+            if to == len(self.last):
+                self.last = np.concatenate([self.last, np.full(to, -1, np.int32)])
+            self.last[to] = done
         return to
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New distinct keys into the transition table: open addressing, a step on where a slot is taken."""
+        if 2 * (self.held + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            size = 1 << (4 * len(keys)).bit_length()
+            self.keys, self.values, self.held = np.full(size, -1, np.int64), np.zeros(size, np.int32), 0
+        self.held += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            own = self.keys[slot] == keys
+            self.values[slot[own]] = values[own]
+            keys, values, slot = keys[~own], values[~own], (slot[~own] + 1) & (len(self.keys) - 1)
+
+    def _go(self, keys: np.ndarray) -> np.ndarray:
+        """One table step for every key."""
+        out = np.empty(len(keys), np.int32)
+        todo, slot, missing = np.arange(len(keys)), self._slots(keys), []
+        while len(todo):
+            found = self.keys[slot]
+            hit, none = found == keys[todo], found < 0
+            out[todo[hit]] = self.values[slot[hit]]
+            missing.append(todo[none])
+            on = ~(hit | none)
+            todo, slot = todo[on], (slot[on] + 1) & (len(self.keys) - 1)
+        lacking = np.concatenate(missing) if missing else todo
+        if len(lacking):
+            new, place = np.unique(keys[lacking], return_inverse=True)
+            values = np.array([self._target(k) for k in new.tolist()], np.int32)
+            self._put(new, values)
+            out[lacking] = values[place]
+        return out
+
     def encode(self, word: str) -> list[int]:
         """The ids along the one path that spells word and its end mark."""
         if not word:
             return []
-        if len(self.number) > STATES:
+        if len(self.under_way) > STATES:
             self._begin()
-        # the states after 0, 1, 2, ... characters, all but the last one
-        seen = list(accumulate(word[:-1], getitem, initial=self.initial))
-        # without an end mark the last character needs a key of its own as well
-        end = seen[-1]
-        c = word[-1] + (self.suffix or "$$")
-        t = end.get(c)
-        if t is None:
-            t = end[c] = self._over(end, word[-1] + self.suffix)[1]
+        if len(self.moves) > MOVES:
+            self.moves.clear()
+        state, seen, moves = 0, [], self.moves
+        for c in word[:-1]:
+            seen.append(state)
+            key = state << _KEY_BITS | ord(c)
+            to = moves.get(key)
+            if to is None:
+                to = moves[key] = self._target(key)
+            state = to
+        seen.append(state)
+        t = self._target(state << _KEY_BITS | _END | ord(word[-1]))
         at, length, out = len(seen) - self.length[t], self.length, [t]
         while at:
-            t = seen[at].last
+            t = int(self.last[seen[at]])
             out.append(t)
             at -= length[t]
         out.reverse()
         return out
 
-
-class State(dict):
-    """One row of the transition table, by character: the next state; by a last character with its end mark: the last token."""
-
-    __slots__ = ("automaton", "under_way", "last")
-
-    def __init__(self, automaton: Automaton, under_way: tuple, last: int):
-        self.automaton, self.under_way, self.last = automaton, under_way, last
-
-    def __missing__(self, c: str) -> State:
-        return self.automaton.step(self, c)
+    def encode_all(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many a word) of many words, all a symbol further at each step.  symbols, at: code points of all words and their borders; no word is empty."""
+        if len(self.under_way) > STATES:
+            self._begin()
+        size, length = np.diff(at), np.array(self.length)
+        order = np.argsort(-size, kind="stable")
+        begin, left = at[:-1][order], -size[order]
+        before, state = np.zeros(at[-1], np.int64), np.zeros(len(size), np.int64)
+        for j in range(int(size.max(initial=1)) - 1):
+            live = int(np.searchsorted(left, -(j + 1)))
+            here = begin[:live] + j
+            state = self._go((state[:live] << _KEY_BITS) | symbols[here]).astype(np.int64)
+            before[here + 1] = state
+        ends = at[1:] - 1
+        token = self._go((before[ends] << _KEY_BITS) | _END | symbols[ends])
+        word, place, rounds = np.arange(len(size)), size - length[token], [(np.arange(len(size)), token)]
+        while (on := place > 0).any():
+            word, place = word[on], place[on]
+            token = self.last[before[at[word] + place]]
+            place = place - length[token]
+            rounds.append((word, token))
+        count = np.zeros(len(size), np.int64)
+        for word, _ in rounds:
+            count[word] += 1
+        behind, ids = np.cumsum(count) - 1, np.empty(count.sum(), np.int32)
+        for i, (word, token) in enumerate(rounds):
+            ids[behind[word] - i] = token
+        return ids, count
+
+
+class Tokenized(NamedTuple):
+    """Token ids of some texts: ids one after the other, how many a piece has, and each piece's text row and end in the bytes."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    row: np.ndarray
+    end: np.ndarray
 
 
 class Tokenizer:
-    """Normalising, splitting and the automaton, as the tokenizer's file describes them."""
+    """The automaton behind the normaliser and the splitter of the tokenizer's file.
+
+    Chunks between the six ASCII white-space bytes are encoded by themselves: no mark of the file holds white space, and
+    neither composition nor the splitter reaches across it.  Plain chunks are lower-cased and cut where the kind of byte changes;
+    all others go through the library's own normaliser and splitter, whose Unicode tables are not those of Python.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -225,54 +303,135 @@ class Tokenizer:
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        for name, less in ((r"\p{L}", NOT_LETTERS), (r"\p{N}", NOT_NUMBERS)):
-            split = split.replace(name, f"[{name}--[{less}]]")
-        self.piece = regex.compile("(?V1)" + split)
-        self.letters = _byte_letters()
-        self.known: dict[str, tuple[bytes, str]] = {}
+        library = tokenizers.Tokenizer.from_file(path)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        label = dict(enumerate(self.automaton.label)) | {i: x for x, i in self.special.items()}
+        self.labels = pa.array([label[i] for i in range(len(label))], pa.string())
+        self.known: dict[bytes, list] = {}
 
     def forget(self) -> None:
-        """Drop what was remembered of texts; the compiled merges stay."""
+        """Drop what was remembered of texts; the compiled merges and the automaton's states stay."""
         self.known.clear()
-        self.automaton.arcs.clear()
-        self.automaton._begin()
-
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        ids: list[int] = []
-        # letters, or letters with one mark behind, need no pattern to be split
-        pieces = [chunk] if chunk.isalpha() else [chunk[:-1], chunk[-1]] if chunk[-1] in ".,!?" and chunk[:-1].isalpha() else self.piece.findall(chunk)
-        for w in pieces:
-            ids += self.automaton.encode(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters))
-        got = array("i", ids).tobytes(), " ".join(map(self.automaton.label.__getitem__, ids))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        if len(chunk) < 64:
-            self.known[chunk] = got
+        self.automaton.moves.clear()
+
+    def _parts(self, raw: bytes) -> list:
+        """Pieces of a chunk that is not plain, as bytes; marks of the file as their ids."""
+        got = self.known.get(raw)
+        if got is None:
+            text, got = raw.decode(), []
+            for part in filter(None, self.cut.split(text) if self.cut else [text]):
+                got += [self.special[part]] if part in self.special else [bytes(map(_BYTE.__getitem__, w)) for w, _ in self.split(self.normal(part))]
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            if len(raw) < 64:
+                self.known[raw] = got
         return got
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if _LATE.search(text):
-                text = text.translate(LATE_LOWER)
-        text = text.lower()
-        chunks = _TRUE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
-        known, make = self.known, self._chunk
-        return [known.get(c) or make(c) for c in chunks if c]
+    def _encoded(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many a piece) of distinct pieces, given by their bytes and sizes."""
+        ids, counts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], np.append(0, np.cumsum(size))
+        for lo in range(0, len(size), SIDE_BY_SIDE):
+            own, hi = size[lo : lo + SIDE_BY_SIDE], min(lo + SIDE_BY_SIDE, len(size))
+            part, short = LETTER[data[at[lo] : at[hi]]], own <= ALONE
+            if short.all():
+                got, n = self.automaton.encode_all(part, at[lo : hi + 1] - at[lo])
+            else:
+                alone = [self.automaton.encode("".join(map(chr, part[at[lo + i] - at[lo] : at[lo + i + 1] - at[lo]]))) for i in np.flatnonzero(~short)]
+                got, n = self.automaton.encode_all(gathered(part, own, np.flatnonzero(short)), np.append(0, np.cumsum(own[short])))
+                place = np.concatenate([np.repeat(np.flatnonzero(short), n), np.repeat(np.flatnonzero(~short), [len(x) for x in alone])])
+                got, n = np.append(got, np.array([t for x in alone for t in x], np.int32))[np.argsort(place, kind="stable")], np.bincount(place, minlength=len(own))
+            ids.append(got)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def tokens(self, data: np.ndarray, at: np.ndarray) -> Tokenized:
+        """Of all texts with these bytes and borders."""
+        units = cut_up(data, at)
+        code, size, odd = units.code, np.diff(units.at), np.zeros(len(units.at) - 1, bool)
+        odd[code[units.odd]] = True
+        plain, strange = np.flatnonzero(~odd), np.flatnonzero(odd)
+        flat, sizes = self._encoded(gathered(units.held, size, plain), size[plain])
+        if len(strange):
+            # the parts of odd chunks, each distinct one once; a mark of the file is a part of one known id
+            number: dict = {}
+            parts = [[number.setdefault(x, len(number)) for x in self._parts(units.held[units.at[i] : units.at[i + 1]].tobytes())] for i in strange]
+            words, marks = [x for x in number if isinstance(x, bytes)], [x for x in number if not isinstance(x, bytes)]
+            ids, n = self._encoded(np.frombuffer(b"".join(words), np.uint8), np.array([len(x) for x in words], np.int64))
+            ids, n = np.append(ids, np.array(marks, np.int32)), np.append(n, np.ones(len(marks), np.int64))
+            place = np.empty(len(number), np.int64)
+            place[[number[x] for x in words + marks]] = np.arange(len(number))
+            own = place[np.array([x for p in parts for x in p], np.int64)]
+            of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            flat = np.append(flat, gathered(ids, n, own))
+            sizes = np.append(sizes, row_sums(n[own], of, len(parts)).astype(np.int64))
+            rank = np.empty(len(odd), np.int64)
+            rank[np.append(plain, strange)] = np.arange(len(odd))
+            code = rank[code]
+        return Tokenized(gathered(flat, sizes, code), sizes[code], units.row, units.end)
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        """(little-endian 32-bit ids, their labels joined by spaces)."""
-        if self.cut is None or not self.cut.search(text):
-            got = self._plain(text)
-        else:
-            got = []
-            for part in self.cut.split(text):
-                if part in self.special:
-                    got.append((np.int32(self.special[part]).tobytes(), part))
-                elif part:
-                    got += self._plain(part)
-        return b"".join(a for a, _ in got), " ".join(b for _, b in got if b)
+        """(little-endian 32-bit ids, their labels joined by spaces) of one text."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids = self.tokens(data, np.array([0, len(data)])).ids
+        return ids.astype("<i4").tobytes(), " ".join(self.labels.take(pa.array(ids)).to_pylist())
+
+
+class Units(NamedTuple):
+    """Pieces of plain chunks, lower-cased, and whole odd chunks: number among the distinct ones, text row, end in the bytes, whether odd;
+    and the distinct ones' bytes with their borders."""
+
+    code: np.ndarray
+    row: np.ndarray
+    end: np.ndarray
+    odd: np.ndarray
+    held: np.ndarray
+    at: np.ndarray
+
+
+def cut_up(data: np.ndarray, at: np.ndarray) -> Units:
+    start, end, row = words(data, at)
+    if not len(start):
+        return Units(start, row, end, np.zeros(0, bool), np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    ink, second = ~SPACE[data], np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    # chunks with a byte that is not plain
+    odd = np.zeros(len(start), bool)
+    odd[np.searchsorted(start, np.flatnonzero(ink & ~second & ~_SIMPLE[data]), "right") - 1] = True
+    border = np.zeros(len(data) + 1, np.int8)
+    border[start[odd]] += 1
+    border[end[odd]] -= 1
+    inside = np.cumsum(border[:-1], dtype=np.int8).view(bool)
+    # lower case; U+00D7 and U+00F7 are no letters
+    low, kind = LOWER[data], _KIND[data]
+    kind[second] = 1
+    lead = np.flatnonzero(second)
+    own = data[lead]
+    low[lead[(own <= 0x9E) & (own != 0x97)]] += 0x20
+    signs = lead[(own == 0x97) | (own == 0xB7)]
+    kind[signs] = kind[signs - 1] = 3
+    low[inside] = data[inside]
+    first = np.zeros(len(data), bool)
+    first[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ink[1:] & ~inside[1:]
+    first[start] = True
+    unit = np.flatnonzero(first)
+    opens = np.zeros(len(data), bool)
+    opens[start] = True
+    word = np.cumsum(opens[unit]) - 1
+    ends = np.minimum(np.append(unit[1:], len(data)), end[word])
+    place = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(ink, out=place[1:])
+    held = low[ink]
+    packed = pa.Array.from_buffers(pa.large_binary(), len(unit), [None, pa.py_buffer(np.append(place[unit], len(held))), pa.py_buffer(held)]).dictionary_encode()
+    _, borders, distinct = packed.dictionary.buffers()
+    return Units(packed.indices.to_numpy(), row[word], ends, odd[word], np.frombuffer(distinct, np.uint8), np.frombuffer(borders, np.int64)[: len(packed.dictionary) + 1])
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The runs of `flat`, of these sizes, one after the other as `code` names them."""
+    starts = np.cumsum(sizes) - sizes
+    want = sizes[code]
+    total = np.cumsum(want)
+    return flat[np.repeat(starts[code] - (total - want), want) + np.arange(total[-1] if len(total) else 0)]
 
 
 @lru_cache(maxsize=2)
@@ -293,31 +452,19 @@ def _encoded(batches, path: str, limit: int):
 
 
 def _encoded_batch(t: Tokenizer, b: pa.RecordBatch, limit: int):
-    ids, texts = b.column("doc_id"), b.column("text")
-    lo = 0
-    while lo < len(texts):
-        packed, labels, size, hi = [], [], 0, lo
-        while hi < len(texts) and size < limit:
-            text = texts[hi].as_py() or ""
-            size += len(text)
-            x, y = t.encode(text)
-            packed.append(x)
-            labels.append(y)
-            hi += 1
-        count = np.array([len(x) // 4 for x in packed], np.int64)
-        at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-        yield pa.RecordBatch.from_arrays(
-            [ids.slice(lo, hi - lo), pa.array(count), pa.ListArray.from_arrays(pa.array(at), values), pa.array(labels, pa.string())],
-            names=["doc_id", "n_tokens", "ids", "decoded"],
-        )
-        lo = hi
-
-
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 21) -> DataFrame:
+    doc = b.column("doc_id")
+    for lo, hi, data, at in texts(b.column("text"), limit):
+        got = t.tokens(data, at)
+        count = row_sums(got.sizes, got.row, hi - lo).astype(np.int64)
+        borders, ids = pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(got.ids)
+        spelt = pc.binary_join(pa.ListArray.from_arrays(borders, t.labels.take(ids)), " ")
+        yield pa.RecordBatch.from_arrays([doc.slice(lo, hi - lo), pa.array(count), pa.ListArray.from_arrays(borders, ids), spelt], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = TOGETHER) -> DataFrame:
     """-> doc_id, n_tokens, ids array<int>, decoded: every whole text, encoded and decoded again."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(partial(_encoded, path=path, limit=batch_chars), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return src.mapInArrow(partial(_encoded, path=path, limit=batch_bytes), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
