@@ -1,11 +1,12 @@
-"""The queries op1 to op10: thin callers of the operators, over whole tables."""
+"""The queries op1 to op13: thin callers of the operators, over whole tables."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import bitslice, bpe, egojoin, mixing, quality, secrets, setsketch, toxicity, urlfilter, wordpiece
+from quillspark.llm import audit, bitslice, bpe, egojoin, hardneg, mixing, packing, quality, secrets, setsketch, toxicity, urlfilter, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +53,23 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op11_residue_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(_table(spark, sf_dir, "embeddings"), every=50, positives=5, negatives=3, low=50, high=95, scale=256.0, noisy=7, labels=10)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 _ALL = (
     op1_subsequence_toxicity, op2_subword_quality, op3_bitslice_topk, op4_ego_near_vectors, op5_bpe_automaton,
     op6_weighted_mix, op7_url_filter, op8_longest_match_counts, op9_secret_battery, op10_setsketch_near_dedup,
+    op11_residue_hard_negatives, op12_filter_audit, op13_window_packing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -132,6 +147,46 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, l.component_id, d.doc_i
 from documents d join least l on l.node = d.doc_id left join n on n.doc_id = d.doc_id
 """
 
+_NEGATIVES = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as q
+  from embeddings where embedding is not null and len(embedding) > 0 and label is not null
+), scored as (
+  select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_sum([x[1] * x[2] for x in list_zip(a.q, b.q)]) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+), pos as (
+  select a, b as positive_id, score as positive_score from scored where same qualify row_number() over (partition by a order by score desc, b) <= 5
+)
+select p.a as anchor_id, p.positive_id, cast(row_number() over (partition by p.a, p.positive_id order by n.score desc, n.b) as integer) as rank, n.b as negative_id, p.positive_score, n.score as negative_score
+from pos p join scored n on n.a = p.a and not n.same and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score
+qualify rank <= 3
+"""
+
+_AUDIT = r"""
+with recursive d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+f as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [
+    len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(d.doc_id > min(d.doc_id) over (partition by t), false)] as bad
+  from d left join l using (doc_id)
+), s as (select part, good, toxic, list_filter(list_transform([1, 2, 3, 4, 5], lambda i: case when bad[i] then 'ABCDE'[i] end), lambda c: c is not null) as fails from f),
+o(filter_order) as (
+  select '' union all select filter_order || c from o, (select unnest(['A', 'B', 'C', 'D', 'E']) as c) where not contains(filter_order, c)
+), r as (
+  select part, filter_order, step, good, toxic, fails, 'x' as one, filter_order[step] as own, list_contains(fails, filter_order[step]) as fail,
+    len(list_filter(fails, lambda c: contains(filter_order[1:step - 1], c))) > 0 as late
+  from s, (select filter_order from o where length(filter_order) = 5), (select unnest([1, 2, 3, 4, 5]) as step)
+)
+select part, filter_order, cast(step as integer) as step, count(*) filter (not fail and not late) as kept, count(*) filter (fail and not late) as removed,
+  count(*) filter (fail and late) as redundant, count(*) filter (fail and len(fails) = 1) as unique_fails,
+  count(*) filter (fail and not late and good = 1) as good_lost, count(*) filter (fail and not late and toxic = 1) as toxic_lost,
+  cast(sum(sum(case when fail and not late then 1 else 0 end)) over (partition by part, own) as bigint) as shapley
+from r group by part, filter_order, step, own
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_residue_hard_negatives": _NEGATIVES, "op12_filter_audit": _AUDIT,
     "op3_bitslice_topk": _TOPK, "op4_ego_near_vectors": _NEAR_VECTORS, "op6_weighted_mix": _MIX, "op10_setsketch_near_dedup": _NEAR_DOCS,
 }
