@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -15,19 +16,56 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
+from quillspark.plans.staging import staged
+from quillspark.plans.versions import Change, Versions
 
 K1, B = 1.2, 0.75
 
 
-def postings(passages: DataFrame) -> DataFrame:
-    """passages(record_id, passage_id, body) -> record_id, passage_id, term, tf, dl; one row per distinct token of a passage."""
-    toks = passages.select("record_id", "passage_id", T.tokens(F.col("body")).alias("t")).withColumn("dl", F.size("t"))
-    return toks.select("record_id", "passage_id", "dl", F.explode("t").alias("term")).groupBy("record_id", "passage_id", "dl", "term").agg(F.count("*").alias("tf"))
+class TextIndex(NamedTuple):
+    """Postings (term, record_id, passage_id, dl, tf), the dictionary (term, passages) and one row of statistics (n, avgdl) of some passages."""
 
+    postings: DataFrame
+    dictionary: DataFrame
+    stats: DataFrame
 
-def term_stats(passages: DataFrame) -> DataFrame:
+
+def text_index(passages: DataFrame) -> TextIndex:
+    """passages(record_id, passage_id, body), tokenised once.
+
+    A row is a distinct token of a passage; one without tokens is a row without a term, so lengths come from the same rows: each
+    passage's first token is marked.
+    """
+    toks = passages.select("record_id", "passage_id", T.tokens(F.col("body")).alias("t"))
+    each = toks.select("record_id", "passage_id", F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term"))
+    rows = each.groupBy("record_id", "passage_id", "dl", "term").agg(F.count("term").alias("tf"), F.bool_or(F.coalesce("pos", F.lit(0)) == 0).alias("first"))
+    rows = staged(rows)
+    posted = rows.where("term is not null").drop("first")
+    dictionary = staged(posted.groupBy("term").agg(F.count("*").alias("passages")))
+    return TextIndex(posted, dictionary, rows.where("first").agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl")))
+
+
+def write_index(store: Versions, index: TextIndex, buckets: int = 64) -> None:
+    """The index as tables of a folder, postings and dictionary dealt by term, as one version."""
+    with store.change() as c:
+        c.put("postings", index.postings, "term", buckets)
+        c.put("dictionary", index.dictionary, "term", buckets)
+        c.put("text_stats", index.stats)
+
+
+def read_index(store: Versions, queries: DataFrame | None = None) -> TextIndex:
+    """The stored index; with queries, only the buckets of postings that their terms can need."""
+    dictionary = store.read("dictionary")
+    if queries is None:
+        return TextIndex(store.read("postings"), dictionary, store.read("text_stats"))
+    seen = Change(store)
+    found = staged(expanded(terms_of(queries).select(F.col("term").alias("prefix")).distinct(), dictionary))
+    return TextIndex(seen.held("postings", seen.touched("postings", found)), dictionary, store.read("text_stats"))
+
+
+def term_stats(index: TextIndex) -> DataFrame:
     """One row: how many passages there are, and their mean length in tokens, over all text-indexed passages."""
-    return passages.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("body"))).cast("double")).alias("avgdl"))
+    return index.stats
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -41,18 +79,35 @@ def blank_query(queries: DataFrame) -> DataFrame:
     return queries.where(F.size(T.query_terms(F.col("query"))) > 0)
 
 
-def lexical_join(terms: DataFrame, posted: DataFrame) -> DataFrame:
-    """Term rows joined with the postings they are a prefix of: an equi-join on the first three characters, then startswith.
+def expanded(prefixes: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """prefix, term: the words of the dictionary that a prefix opens.
 
-    Terms shorter than that are joined on what they have.  Each query term is one row, postings stay where they are:
-    the terms are broadcast by Spark when they are small, and shuffled by the key when they are not.
+    Every word is cut at the lengths that occur among the prefixes, a few numbers, and joined on the whole prefix; it is the distinct
+    words that are cut, not the text.
     """
-    out = None
-    for n in (1, 2, 3):
-        own = terms.where(F.length("term") >= 3 if n == 3 else F.length("term") == n).withColumnRenamed("term", "prefix").withColumn("k", F.left("prefix", F.lit(n)))
-        hit = posted.withColumn("k", F.left("term", F.lit(n))).join(own, "k").where("startswith(term, prefix)").drop("k")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
+    if not lengths:
+        return prefixes.select("prefix", F.col("prefix").alias("term")).limit(0)
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("term"))
+    cut = dictionary.select("term", F.explode(F.transform(fitting, lambda n: F.substr("term", F.lit(1), n))).alias("prefix"))
+    return prefixes.join(cut, "prefix").select("prefix", "term")
+
+
+def lexical_join(queries: DataFrame, index: TextIndex) -> DataFrame:
+    """query_id, term_no, record_id, passage_id, tf, df, dl: every term of a query in every passage that holds all of them; tf and df count what a prefix matches.
+
+    A query starts from the passages of its rarest term, and only those are looked up for the other ones, by passage and whole term.
+    """
+    terms = staged(terms_of(queries).withColumnRenamed("term", "prefix"))
+    found = expanded(terms.select("prefix").distinct(), index.dictionary)
+    posted = staged(index.postings.join(found, "term").groupBy("prefix", "record_id", "passage_id", "dl").agg(F.sum("tf").alias("tf")))
+    counts = posted.groupBy("prefix").agg(F.count("*").alias("df"))
+    asked = staged(terms.join(counts, "prefix", "left"))
+    whole = asked.groupBy("query_id").agg(F.count("*").alias("need"), F.min(F.struct("df", "prefix")).alias("rarest"), F.bool_and(F.col("df").isNotNull()).alias("known")).where("known")
+    start = whole.select("query_id", "need", F.col("rarest.prefix").alias("prefix")).join(posted.select("prefix", "record_id", "passage_id"), "prefix").drop("prefix")
+    rows = start.join(asked, "query_id").join(posted, ["prefix", "record_id", "passage_id"])
+    both = rows.groupBy("query_id", "record_id", "passage_id", "dl", "need").agg(F.collect_list(F.struct("term_no", "tf", "df")).alias("of"))
+    return both.where(F.size("of") == F.col("need")).select("query_id", "record_id", "passage_id", "dl", F.inline("of"))
 
 
 def bm25(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
@@ -60,16 +115,11 @@ def bm25(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def score_passages(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """query_id, record_id, passage_id, score of the passages that hold every term of a query; tf and df count all tokens a prefix matches."""
-    terms = terms_of(queries)
-    hits = lexical_join(terms, postings(passages)).groupBy("query_id", "term_no", "record_id", "passage_id", "dl").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("query_id", "term_no").agg(F.count("*").alias("df"))
-    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
-    rows = hits.join(df, ["query_id", "term_no"]).join(F.broadcast(term_stats(passages)))
+def score_passages(queries: DataFrame, index: TextIndex) -> DataFrame:
+    """query_id, record_id, passage_id, score of the passages that hold every term of a query."""
+    rows = lexical_join(queries, index).join(F.broadcast(index.stats))  # one row
     rows = rows.withColumn("s", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")))
-    rows = rows.groupBy("query_id", "record_id", "passage_id").agg(F.sum("s").alias("score"), F.count("*").alias("found")).join(need, "query_id")
-    return rows.where("found = need").select("query_id", "record_id", "passage_id", "score")
+    return rows.groupBy("query_id", "record_id", "passage_id").agg(F.sum("s").alias("score"))
 
 
 def best_passage(scored: DataFrame) -> DataFrame:
@@ -88,8 +138,10 @@ def search_limit(ranked: DataFrame, n: int) -> DataFrame:
     return ranked.where(F.col("rank") <= n)
 
 
-def search_lexical(queries: DataFrame, passages: DataFrame, limit: int | None = None) -> DataFrame:
-    return signal_rank(best_passage(score_passages(blank_query(queries), passages)), limit)
+def search_lexical(queries: DataFrame, passages: DataFrame | TextIndex, limit: int | None = None) -> DataFrame:
+    """Ranked records by their best passage; passages are indexed first, an index is used as it is."""
+    index = passages if isinstance(passages, TextIndex) else text_index(passages)
+    return signal_rank(best_passage(score_passages(blank_query(queries), index)), limit)
 
 
 def match_terms(passages: DataFrame, every: tuple = (), some: tuple = (), none: tuple = (), phrase: tuple = (), prefix: tuple = ()) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import durable as D
 from quillspark.operators import maintenance as M
 from quillspark.operators import outline
+from quillspark.plans.staging import shared_dir
+from quillspark.plans.versions import Versions
 from quillspark.queries.fixtures import fixture, table
 from quillspark.queries.registry import query
 
@@ -25,6 +30,24 @@ def upsert_records(spark, d):
     return M.upsert_records(_old(spark, d), _new(spark, d)).select("record_id", "stream_hash", "title", "created_s", "updated_s", "superseded", "project")
 
 
+def _store(spark, **tables):
+    """A folder of versioned tables dealt by record."""
+    store = Versions(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}")
+    with store.change() as c:
+        for name, df in tables.items():
+            c.put(name, df, "record_id", 16)
+    return store
+
+
+@query("""select coalesce(n.record_id, r.record_id) as record_id, coalesce(n.stream_hash, r.stream_hash) as stream_hash, coalesce(n.title, r.title) as title, r.created_s, coalesce(n.updated_s, r.updated_s) as updated_s, r.project
+  from fx_records r full outer join fx_new_records n using (record_id)""")
+def put_records(spark, d):
+    """The same, written to the stored records."""
+    store = _store(spark, records=_old(spark, d))
+    D.put_records(store, _new(spark, d))
+    return store.read("records").select("record_id", "stream_hash", "title", "created_s", "updated_s", "project")
+
+
 _GONE = "record_id in (select concat('doc-', doc_id) from documents where doc_id % 9 = 0)"
 
 
@@ -103,8 +126,13 @@ def spans_to_embed(spark, d):
 
 @query()
 def embed_missing(spark, d):
+    """Into stored vectors, slice by slice; the rows it added."""
     rows, have = _chunks(spark, d)
-    return M.embed_missing(rows, have, "m", M.hashing_embedder())
+    store = Versions(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}")
+    with store.change() as c:
+        c.put("vectors", have.select("stream_hash", "span_start", "span_len", F.array().cast("array<float>").alias("vector"), "model"))
+    D.embed_missing(store, rows, "m", M.hashing_embedder(), slices=4)
+    return store.read("vectors").where("size(vector) > 0")
 
 
 def _artifacts(spark, d):
@@ -126,8 +154,12 @@ def generate_missing(spark, d):
         for pdf in batches:
             yield pdf.assign(artifact=[f" len {len(t)} " for t in pdf.text])[["stream_hash", "artifact"]]
 
-    plan = M.artifacts_to_generate(_old(spark, d), _artifacts(spark, d), "g1", "p1")
-    return M.generate_missing(plan, fixture(spark, d, "fx_texts"), generator)
+    store = Versions(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}")
+    with store.change() as c:
+        c.put("artifacts", _artifacts(spark, d))
+    plan = lambda have: M.artifacts_to_generate(_old(spark, d), have, "g1", "p1")
+    D.generate_missing(store, plan, fixture(spark, d, "fx_texts"), generator, "g1", "p1", slices=4)
+    return store.read("artifacts").where("artifact like 'len %'").select("stream_hash", "artifact")
 
 
 @query("select r.record_id, 'g1' as generator, case when t.doc_id % 8 = 0 then 'p1' else 'p2' end as prompt, concat('about ', t.lang) as artifact from fx_records r join fx_texts t using (stream_hash) where t.doc_id % 4 = 0")
@@ -195,8 +227,12 @@ def _derive(docs):
 def _built(spark, d, what):
     old, new = _old(spark, d), _new(spark, d)
     surveyed = M.survey(new, old)
-    before = {"titles": old.select("record_id", F.lit("old").alias("title"))}
-    return (M.rebuild(new, before, _derive, M.repairable(surveyed)) if what == "rebuild" else M.repair(surveyed, new, before, _derive))["titles"]
+    store = _store(spark, titles=old.select("record_id", F.lit("old").alias("title")))
+    if what == "rebuild":
+        D.rebuild_tables(store, new, _derive, M.repairable(surveyed))
+    else:
+        D.repair_tables(store, surveyed, new, _derive)
+    return store.read("titles")
 
 
 _BUILT = "select sv.record_id, case when status in ('missing', 'stale') then n.stream_hash || '#' || n.title else 'old' end as title from sv left join fx_new_records n using (record_id)"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import retrieval as R
-from quillspark.plans.staging import staged
+from quillspark.plans.staging import shared_dir, staged
+from quillspark.plans.versions import Versions
 from quillspark.queries.fixtures import fixture, table
 from quillspark.queries.registry import query
 
@@ -18,8 +21,13 @@ def _passages(spark, d):
 
 
 def _queries(spark, d):
-    b = table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("query"))
+    """Every line of every benchmark text, in whole words."""
+    lines = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("no", "query"))
+    return lines.select((F.col("item_id") + 1_000_000 * F.col("no")).alias("query_id"), "query")
+
+
+def _index(spark, d):
+    return R.text_index(_passages(spark, d))
 
 
 def _vectors(spark, d):
@@ -33,10 +41,12 @@ def _qvecs(spark, d):
 _LEX = """p as (select record_id, no as passage_id, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') as t from (
     select record_id, unnest(string_split(text, chr(10))) as body, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no from fx_texts) where trim(body) <> ''),
   st as (select count(*) as n, avg(len(t)) as avgdl from p),
-  q as (select item_id as query_id, unnest(list_filter(flatten([regexp_extract_all(lower(w), '[\\p{L}\\p{N}]+') for w in string_split(text, ' ')[1:2]]), lambda x: x <> '')) as term from benchmark),
-  qt as (select query_id, row_number() over (partition by query_id) as term_no, term from q),
+  q as (select query_id, list_filter(flatten([regexp_extract_all(lower(w), '[\\p{L}\\p{N}]+') for w in string_split(line, ' ')]), lambda x: x <> '') as terms from (
+    select item_id + 1000000 * (no - 1) as query_id, line from (select item_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from benchmark))),
+  qt as (select query_id, unnest(terms) as term, generate_subscripts(terms, 1) as term_no from q),
   tk as (select record_id, passage_id, len(t) as dl, unnest(t) as tok from p),
-  h as (select query_id, term_no, record_id, passage_id, dl, count(*) as tf from qt join tk on starts_with(tok, term) group by all),
+  vt as (select term, tok from (select distinct term from qt) join (select distinct tok from tk) on starts_with(tok, term)),
+  h as (select query_id, term_no, record_id, passage_id, dl, count(*) as tf from qt join vt using (term) join tk using (tok) group by all),
   dfs as (select query_id, term_no, count(*) as df from h group by all),
   sc as (select query_id, record_id, passage_id, count(*) as found, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score
     from h join dfs using (query_id, term_no) cross join st group by all),
@@ -50,23 +60,28 @@ _DENSE = """qv as (select vec_id as query_id, embedding::double[] as qvec from e
 
 @query(f"with {_LEX} select query_id, record_id, passage_id, round(score, 6) as score from lexp")
 def bm25(spark, d):
-    return R.score_passages(_queries(spark, d), _passages(spark, d)).withColumn("score", F.round("score", 6)).withColumn("passage_id", F.col("passage_id").cast("long"))
+    return R.score_passages(_queries(spark, d), _index(spark, d)).withColumn("score", F.round("score", 6)).withColumn("passage_id", F.col("passage_id").cast("long"))
 
 
 @query(f"with {_LEX} select n, round(avgdl, 6) as avgdl from st")
 def term_stats(spark, d):
-    return R.term_stats(_passages(spark, d)).withColumn("avgdl", F.round("avgdl", 6))
+    return R.term_stats(_index(spark, d)).withColumn("avgdl", F.round("avgdl", 6))
 
 
-@query(f"with {_LEX} select query_id, term_no - 1 as term_no, record_id, passage_id, tf from h")
+@query(f"with {_LEX} select h.query_id, term_no - 1 as term_no, h.record_id, h.passage_id, tf, df from h join dfs using (query_id, term_no) join lexp using (query_id, record_id, passage_id)")
 def lexical_join(spark, d):
-    hits = R.lexical_join(R.terms_of(_queries(spark, d)), R.postings(_passages(spark, d)))
-    return hits.groupBy("query_id", F.col("term_no").cast("long").alias("term_no"), "record_id", F.col("passage_id").cast("long").alias("passage_id")).agg(F.sum("tf").alias("tf"))
+    hits = R.lexical_join(_queries(spark, d), _index(spark, d))
+    return hits.select("query_id", F.col("term_no").cast("long").alias("term_no"), "record_id", F.col("passage_id").cast("long").alias("passage_id"), "tf", "df")
+
+
+@query(f"with {_LEX} select tok as term, count(distinct (record_id, passage_id)) as passages from tk group by 1")
+def term_dictionary(spark, d):
+    return _index(spark, d).dictionary
 
 
 @query(f"with {_LEX} select query_id, record_id, round(max(score), 6) as score from lexp group by all")
 def best_passage(spark, d):
-    return R.best_passage(R.score_passages(_queries(spark, d), _passages(spark, d))).withColumn("score", F.round("score", 6))
+    return R.best_passage(R.score_passages(_queries(spark, d), _index(spark, d))).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_LEX} select query_id, record_id, round(score, 6) as score, rank from lex where rank <= 20")
@@ -75,6 +90,15 @@ def search_lexical(spark, d):
     return got.select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"with {_LEX} select query_id, record_id, round(score, 6) as score, rank from lex where rank <= 20")
+def search_lexical_stored(spark, d):
+    """The same from a written index, of which only the buckets of the questions' terms are read."""
+    store = Versions(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}")
+    R.write_index(store, _index(spark, d))
+    got = R.search_lexical(_queries(spark, d), R.read_index(store, _queries(spark, d)), 20)
+    return got.select("query_id", "record_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("select item_id as query_id from benchmark where item_id % 2 = 0 and len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) > 0")
 def blank_query(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.lit(" \x01 ")).alias("query"))
@@ -157,7 +181,7 @@ def rrf(spark, d):
 
 @query(f"with {_LEX} select query_id, record_id, rank from lex where rank <= 3")
 def signal_rank(spark, d):
-    got = R.signal_rank(R.best_passage(R.score_passages(_queries(spark, d), _passages(spark, d))))
+    got = R.signal_rank(R.best_passage(R.score_passages(_queries(spark, d), _index(spark, d))))
     return R.search_limit(got, 3).select("query_id", "record_id", F.col("rank").cast("long").alias("rank"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.maintenance import hashing_embedder
 from quillspark.plans.staging import shared_dir
+from quillspark.plans.versions import Versions
 from quillspark.queries.fixtures import fixture, table
 from quillspark.queries.registry import query
 from quillspark.streaming import ingest as I
@@ -55,10 +56,14 @@ def queue_status(spark, d):
     return I.queue_status(s, I.split_dead_letters(s)[1], 5_000_000)
 
 
+def _base(spark, d):
+    return fixture(spark, d, "fx_records").select("record_id", "stream_hash", "title", "created_s", "updated_s")
+
+
 def _run(spark, d, **more):
     path = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
     _submissions(spark, d).drop("_corrupt").select(F.to_json(F.struct("id", "corpus", "document", "accepted", "provenance")).alias("value")).union(spark.createDataFrame([("{broken",), ("also broken",)], "value string")).write.text(f"{path}/in")
-    return I.Ingest(fixture(spark, d, "fx_records").select("record_id", "stream_hash", "title", "created_s", "updated_s"), **more).run(spark, f"{path}/in", f"{path}/checkpoint")
+    return I.Ingest(Versions(spark, f"{path}/tables"), _base(spark, d), **more).run(f"{path}/in", f"{path}/checkpoint")
 
 
 @query(f"with {_LAST} select r.record_id, case when l.accepted >= 1000000 then l.accepted else r.updated_s end as updated_s from fx_records r left join lw l on l.id = r.record_id")
@@ -73,11 +78,7 @@ def queue_dead_letters(spark, d):
 
 @query(f"with {_SUB} select count(*) + 2 as depth, (select count(*) from sb where reason is not null) + 2 as dead from sb")
 def queue_gauge(spark, d):
-    gauges = _run(spark, d).gauges
-    out = gauges[0]
-    for g in gauges[1:]:
-        out = out.unionByName(g)
-    return out.agg(F.sum("depth").alias("depth"), F.sum("dead").alias("dead"))
+    return _run(spark, d).gauges.agg(F.sum("depth").alias("depth"), F.sum("dead").alias("dead"))
 
 
 @query(f"with {_LAST} select distinct sha256(case when accepted >= 1000000 then 'again ' || d.text else d.text end) as stream_hash from lw join documents d on 'doc-' || d.doc_id = lw.id where not (accepted >= 1000000 and d.doc_id % 23 = 0) union select sha256('again  ') from lw join documents d on 'doc-' || d.doc_id = lw.id where accepted >= 1000000 and d.doc_id % 23 = 0")
@@ -87,8 +88,8 @@ def incremental_embed(spark, d):
 
 @query(f"with {_LAST} select r.record_id, case when l.accepted >= 1000000 then l.accepted else r.updated_s end as updated_s from fx_records r left join lw l on l.id = r.record_id")
 def idempotent_batches(spark, d):
-    """The same batch twice, under the same and under another number: the records are those of one."""
-    state = I.Ingest(fixture(spark, d, "fx_records").select("record_id", "stream_hash", "title", "created_s", "updated_s"))
+    """The same batch three times, twice under the same number and each time by another process: the records are those of one."""
+    store = Versions(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}")
     for number in (0, 0, 1):
-        state(_submissions(spark, d), number)
-    return state.records.select("record_id", "updated_s")
+        I.Ingest(store, _base(spark, d))(_submissions(spark, d), number)
+    return store.read("records").select("record_id", "updated_s")

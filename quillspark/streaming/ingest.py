@@ -1,4 +1,9 @@
-"""Submissions as a stream of JSON files: upserts, dead letters and gauges per micro-batch."""
+"""Submissions as a stream of JSON files: upserts, dead letters and gauges per micro-batch.
+
+Records, dead letters, gauges and vectors are tables of one ``Versions`` folder.  A batch changes
+them together and enters its number with them, so a process that dies anywhere loses nothing and
+repeats nothing: before the commit the batch is run again, after it the number tells that it is done.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,15 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 from quillspark.operators import maintenance, outline
-from quillspark.plans.staging import staged
+from quillspark.plans.staging import Scratch
+from quillspark.plans.versions import Change, Versions
 
 SUBMISSION = "id string, corpus string, document string, accepted long, provenance struct<project:string,project_source:string,session:string,cwd:string>, _corrupt string"
 
 
-def read_queue(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(SUBMISSION).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+def read_queue(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(SUBMISSION).option("columnNameOfCorruptRecord", "_corrupt")
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).json(path)
 
 
 def reason_of(s: DataFrame) -> Column:
@@ -61,36 +68,55 @@ def ingest_batch(batch: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFram
 
 
 class Ingest:
-    """A run over what lies in a queue folder; state holds the current tables and a ledger of done batches."""
+    """A queue's way into the tables of a folder: records, dead, gauges and, with an embedder, vectors.
+
+    base is taken only where the folder has no records yet.  What a batch reads and writes of records and vectors are the
+    buckets that its ids and texts fall in; a submission of the stored text touches none.  stream names the queue in the ledger.
+    """
+
+    def __init__(self, store: Versions, base: DataFrame | None = None, embedder: Callable | None = None, stream: str = "queue", buckets: int = 64):
+        self.store, self.embedder, self.stream, self.buckets = store, embedder, stream, buckets
+        if base is not None and not store.has("records"):
+            with store.change() as c:
+                c.put("records", base, "record_id", buckets)
 
-    def __init__(self, base: DataFrame, embedder: Callable | None = None):
-        self.records, self.dead, self.gauges, self.vectors = base, None, [], None
-        self.done: set[int] = set()
-        self.embedder = embedder
+    records = property(lambda self: self.store.read("records"))
+    dead = property(lambda self: self.store.read("dead"))
+    gauges = property(lambda self: self.store.read("gauges"))
+    vectors = property(lambda self: self.store.read("vectors"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self.done:
+        if batch_id <= self.store.done(self.stream):
             return
-        batch = staged(batch)
-        records, dead = ingest_batch(batch, self.records)
-        if self.embedder is not None:
-            self._embed(batch)
-        self.records = staged(records)
-        dead = staged(dead)
-        self.dead = dead if self.dead is None else staged(self.dead.unionByName(dead))
-        self.gauges.append(staged(queue_status(batch, dead, 0)))
-        self.done.add(batch_id)
-
-    def _embed(self, batch: DataFrame) -> None:
+        with Scratch() as scratch, self.store.change() as c:
+            batch = scratch(batch)
+            good, dead = split_dead_letters(batch)
+            last = scratch(latest_wins(good))
+            ids = last.select(F.col("id").alias("record_id"))
+            fresh = scratch(skip_unchanged(last, c.held("records", c.touched("records", ids))))
+            touched = c.touched("records", fresh.select(F.col("id").alias("record_id")))
+            if touched:
+                c.replace("records", maintenance.upsert_records(c.held("records", touched), as_records(fresh)).drop("superseded"), touched)
+            c.append("dead", dead)
+            c.append("gauges", queue_status(batch, dead, 0))
+            if self.embedder is not None:
+                self._embed(c, last)
+            c.done(self.stream, batch_id)
+
+    def _embed(self, c: Change, last: DataFrame) -> None:
         """Vectors for the spans of the batch's records only."""
-        good = latest_wins(split_dead_letters(batch)[0])
-        rows = good.select(F.sha2("document", 256).alias("stream_hash"), F.lit(0).cast("long").alias("span_start"), F.octet_length("document").cast("long").alias("span_len"), F.col("document").alias("body")).dropDuplicates(["stream_hash"])
-        have = self.vectors if self.vectors is not None else rows.select("stream_hash", "span_start", "span_len", F.lit("").alias("model")).limit(0)
-        new = maintenance.embed_missing(rows, have, "hash", self.embedder)
-        self.vectors = staged(new if self.vectors is None else self.vectors.unionByName(new))
-
-    def run(self, spark: SparkSession, path: str, checkpoint: str) -> Ingest:
-        q = read_queue(spark, path).writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        rows = last.select(F.sha2("document", 256).alias("stream_hash"), F.lit(0).cast("long").alias("span_start"), F.octet_length("document").cast("long").alias("span_len"), F.col("document").alias("body")).dropDuplicates(["stream_hash"])
+        if "vectors" not in c.state["tables"]:
+            none = rows.select("stream_hash", "span_start", "span_len", F.lit("").alias("model")).limit(0)
+            c.put("vectors", maintenance.embed_missing(rows, none, "hash", self.embedder), "stream_hash", self.buckets)
+            return
+        touched = c.touched("vectors", rows)
+        have = c.held("vectors", touched)
+        c.replace("vectors", have.unionByName(maintenance.embed_missing(rows, have, "hash", self.embedder)), touched)
+
+    def run(self, path: str, checkpoint: str, files: int | None = None) -> Ingest:
+        """Takes all that waits in the queue folder, `files` a batch."""
+        q = read_queue(self.store.spark, path, files).writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
         return self
 
