@@ -44,7 +44,7 @@ REMEMBERED = 40_000
 #: Arc lookups, transitions of long pieces and automaton states a worker remembers (some 0.4 kB a state); then each starts anew.
 ARCS, MOVES, STATES = 200_000, 100_000, 120_000
 #: Bytes of text whose pieces are told apart together; a longer text comes alone.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 #: Pieces that go through the automaton side by side, and the symbols above which a piece goes alone.
 SIDE_BY_SIDE, ALONE = 1 << 14, 64
 #: A transition's key: state, end mark, symbol.

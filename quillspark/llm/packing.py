@@ -41,7 +41,7 @@ COARSE, FINE = 128, 64
 #: What cuts cost, in tokens of padding: behind a sentence, elsewhere in a document, and every sequence.
 SENTENCE, INSIDE, EVERY = 8, 64, 8
 #: Bytes of text that are encoded together; a longer text comes alone.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 
 #: Fixed: closing punctuation, marks that may stand behind it, and closing punctuation of three bytes.
 _CLOSING, _BEHIND = np.zeros(256, bool), np.zeros(256, bool)
