@@ -156,10 +156,30 @@ def link_markup(kind: Column, target: Column, shown: Column, page: Column) -> Co
     return F.when(page.isNotNull(), wikilink(page, shown)).when(kind == "url", F.concat(F.lit("["), shown, F.lit("]("), target, F.lit(")"))).otherwise(shown)
 
 
+def spliced(text: Column, marks: Column) -> Column:
+    """text with marks[].mark in place of its bytes from marks[].at to marks[].end; marks are in order, and one that overlaps an earlier one or leaves the text is passed over."""
+    raw = F.encode(text, "UTF-8")
+    size = F.octet_length(text)
+    # the end of what has been replaced so far travels with the marks that hold
+    held = F.aggregate(
+        marks, F.array().cast("array<struct<from:int,at:int,end:int,mark:string>>"),
+        lambda s, x: F.when((x["at"] >= F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0))) & (x["end"] <= size) & (x["end"] >= x["at"]),
+            F.concat(s, F.array(F.struct(F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(0)).alias("from"), x["at"].alias("at"), x["end"].alias("end"), x["mark"].alias("mark"))))).otherwise(s),
+    )
+    cut = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
+    parts = F.transform(held, lambda x: F.concat(cut(x["from"], x["at"]), x["mark"]))
+    return F.concat(F.array_join(parts, ""), cut(F.coalesce(F.try_element_at(held, F.lit(-1))["end"], F.lit(0)), size))
+
+
 def shown(text: Column, chars: int = 2000) -> Column:
     return F.left(text, F.lit(chars))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_drawer(text: Column) -> Column:
     """Without a leading property drawer, if it ends."""
     return F.regexp_replace(text, r"(?s)\A:PROPERTIES:\n.*?:END:\n", "")
@@ -176,6 +196,12 @@ def provenance_json(fields: dict[str, Column]) -> Column:
     return F.when(F.coalesce(*fields.values()).isNotNull(), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])))
 
 
+def provenance_text(fields: dict[str, Column]) -> Column:
+    """The fields that are given, a line each under a heading; empty when none is.  A list is its members with commas, and not given when it has none."""
+    lines = F.filter(F.array(*[F.when((v.isNotNull()) & (v.cast("string") != ""), F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in fields.items()]), lambda x: x.isNotNull())
+    return F.when(F.size(lines) > 0, F.concat(F.lit("\nprovenance:\n  "), F.array_join(lines, "\n  "), F.lit("\n"))).otherwise("")
+
+
 def valid_provenance(value: Column) -> Column:
     """A single line that is not blank."""
     return value.isNull() | ((F.trim(value) != "") & ~value.contains("\n"))

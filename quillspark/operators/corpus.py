@@ -65,6 +65,12 @@ def records_tagged(records: DataFrame, tags: DataFrame, tag: str) -> DataFrame:
     return records.join(tags.where(F.col("tag") == T.normalize_tag(F.lit(tag))).select("record_id"), "record_id", "left_semi").orderBy("record_id")
 
 
+def all_nodes(records: DataFrame, tags: DataFrame) -> DataFrame:
+    """record_id, title, tags of every record, tags in order; the listing of a whole corpus."""
+    own = tags.groupBy("record_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return records.select("record_id", "title").join(own, "record_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).orderBy("record_id")
+
+
 def passages_in(records: DataFrame, passages: DataFrame, corpus: str) -> DataFrame:
     return records.where(F.col("corpus") == corpus).select("record_id").join(passages, "record_id").orderBy("record_id", "span_start")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,9 +77,33 @@ def expected_ids(expectations: DataFrame) -> DataFrame:
     return expectations.groupBy("record_id").agg(F.min("question_id").alias("first")).orderBy("first", "record_id")
 
 
+def percentiles(values: DataFrame, by: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
+    """by -> p: the values at these shares, interpolated between neighbours, for cells with a value.
+
+    Equal values of a cell become one row with a count; these rows are dealt out by ranges of (cell, value), and a row's places are
+    the counts of the ranges before it and of the rows before it in its range.  So no task holds a cell, and what a cell gives is
+    the two rows around each share.
+    """
+    cell = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+    counts = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c")).withColumn("cell", cell)
+    parts = staged(counts.repartitionByRange("cell", column).withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("cell", "part").agg(F.sum("c").alias("size"))
+    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("n", F.sum("size").over(Window.partitionBy("cell")))
+    upto = Window.partitionBy("cell", "part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.join(sizes.drop("size"), ["cell", "part"]).withColumn("upto", F.col("before") + F.sum("c").over(upto))
+    at = lambda place: F.max(F.when((place >= F.col("upto") - F.col("c")) & (place < F.col("upto")), F.col(column)))
+    place = {q: F.lit(q) * (F.col("n") - 1) for q in shares}
+    ends = [x for i, q in enumerate(shares) for x in (at(F.floor(place[q])).alias(f"lo_{i}"), at(F.ceil(place[q])).alias(f"hi_{i}"))]
+    got = placed.groupBy("cell").agg(F.max("n").alias("n"), *[F.min(c).alias(c) for c in by], *ends)
+    part = lambda q: place[q] - F.floor(place[q])
+    return got.select("cell", F.array(*[F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}")) * part(q) for i, q in enumerate(shares)]).alias("p"))
+
+
 def latency_stats(outcomes: DataFrame, *by: str) -> DataFrame:
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
-    got = outcomes.groupBy(*by).agg(F.count("latency_ms").alias("n"), p.alias("p"), F.max("latency_ms").alias("max_ms"), F.avg("latency_ms").alias("mean_ms"))
+    """by -> n, p50, p95, max_ms, mean_ms; a cell without a value has n 0 and nulls."""
+    got = outcomes.groupBy(*by).agg(F.count("latency_ms").alias("n"), F.max("latency_ms").alias("max_ms"), F.avg("latency_ms").alias("mean_ms"))
+    got = got.withColumn("cell", F.to_json(F.struct(*by), {"ignoreNullFields": "false"})).join(percentiles(outcomes, by, "latency_ms", (0.5, 0.95)), "cell", "left")
     return got.select(*by, "n", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), "max_ms", "mean_ms")
 
 
@@ -88,6 +114,27 @@ def verdict(outcomes: DataFrame, ratio: float = 2.0, dense_ms: float = 300.0) ->
     return rows.select("clients", "idle_p95", "loaded_p95", (F.col("loaded_p95") <= ratio * F.col("idle_p95")).alias("load_ok"), (F.col("idle_p95") < dense_ms).alias("dense_ok"))
 
 
+def verdict_tests(outcomes: DataFrame, writers: DataFrame, stages: DataFrame, ratio: float = 2.0, dense_ms: float = 300.0) -> DataFrame:
+    """test, value, threshold, passed: the four tests of a bench.
+
+    outcomes(variant, condition, clients, latency_ms, error_kind), writers(started, completed), stages(variant, stage, latency_ms).
+    No database error; every writer that started finished; the worst loaded p95 of a variant and client count at most `ratio` times
+    its idle p95; the worst p95 of a dense stage of the backend under `dense_ms`.  A ratio or p95 that is not there does not pass.
+    """
+    cells = latency_stats(outcomes, "variant", "condition", "clients")
+    pairs = cells.groupBy("variant", "clients").agg(F.max(F.when(F.col("condition") == "idle", F.col("p95"))).alias("idle"), F.max(F.when(F.col("condition") != "idle", F.col("p95"))).alias("loaded"))
+    dense = latency_stats(stages.where("variant = 'backend' and stage like '%dense%'"), "variant", "stage")
+    row = lambda name, value, limit, passed: F.struct(F.lit(name).alias("test"), value.cast("double").alias("value"), F.lit(float(limit)).alias("threshold"), F.coalesce(passed, F.lit(False)).alias("passed"))
+    n = F.col("value")
+    return (
+        outcomes.agg(F.count_if(F.col("error_kind") == "database").alias("value")).select(row("no_database_errors", n, 0, n == 0).alias("x"))
+        .unionByName(writers.agg(F.count_if(F.col("started") & ~F.coalesce("completed", F.lit(False))).alias("value")).select(row("writers_completed", n, 0, n == 0).alias("x")))
+        .unionByName(pairs.where("idle > 0 and loaded is not null").agg(F.max(F.col("loaded") / F.col("idle")).alias("value")).select(row("loaded_p95_within_ratio", n, ratio, n <= ratio).alias("x")))
+        .unionByName(dense.agg(F.max("p95").alias("value")).select(row("dense_p95_below_threshold", n, dense_ms, n < dense_ms).alias("x")))
+        .select("x.*")
+    )
+
+
 def cells(spark, variants: list[str], conditions: list[str], clients: list[int], passes: int) -> DataFrame:
     """Every combination of a bench, numbered in order; four short lists of names, not tables."""
     one = spark.range(1).select(F.explode(F.array(*map(F.lit, variants))).alias("variant"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
 
@@ -35,18 +36,37 @@ def forget(ids: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
     return {name: t.join(ids.select("record_id"), "record_id", "left_anti") for name, t in tables.items()}
 
 
+#: Bytes of a stream that one task sweeps, as a power of two.
+SWEPT = 16
+
+
+def spans_inside(vectors: DataFrame, passages: DataFrame) -> DataFrame:
+    """Vector spans that lie in a passage of their record, once each.
+
+    A span lies in one if, of the passages that start no later, one reaches as far: starts are swept in order with the furthest
+    reach so far.  A record is cut into stretches, each begun with the reach of those before, so a long record is many tasks, and
+    work is linear in spans and passages.
+    """
+    p = passages.where("span_start is not null and span_len is not null").select("record_id", F.col("span_start").cast("long").alias("at"), (F.col("span_start") + F.col("span_len")).cast("long").alias("reach"), F.lit(None).cast("long").alias("len"))
+    s = vectors.where("span_start is not null and span_len is not null").select("record_id", F.col("span_start").cast("long").alias("at"), F.lit(None).cast("long").alias("reach"), F.col("span_len").cast("long").alias("len")).distinct()
+    rows = p.unionByName(s).withColumn("stretch", F.shiftright("at", SWEPT))
+    earlier = Window.partitionBy("record_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("record_id", "stretch").agg(F.max("reach").alias("furthest")).select("record_id", "stretch", F.max("furthest").over(earlier).alias("carried"))
+    # at one place passages come first
+    so_far = Window.partitionBy("record_id", "stretch").orderBy("at", F.col("len").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = rows.withColumn("own", F.max("reach").over(so_far)).join(carried, ["record_id", "stretch"])
+    inside = F.greatest("own", "carried") >= F.col("at") + F.col("len")
+    return swept.where(F.col("len").isNotNull() & F.coalesce(inside, F.lit(False))).select("record_id", F.col("at").alias("span_start"), F.col("len").alias("span_len"))
+
+
 def embedded_spans(vectors: DataFrame, passages: DataFrame) -> DataFrame:
-    """Vector spans that lie in a passage of their stream, once each; vectors themselves stay out of the join."""
-    v = vectors.select("record_id", "span_start", "span_len").distinct()
-    p = passages.select("record_id", F.col("span_start").alias("p_start"), F.col("span_len").alias("p_len"))
-    return v.join(p, "record_id").where("span_start >= p_start and span_start + span_len <= p_start + p_len").select("record_id", "span_start", "span_len").distinct()
+    """Vector spans that lie in a passage of their stream, once each; vectors themselves stay out of the sweep."""
+    return spans_inside(vectors, passages)
 
 
 def orphan_vectors(vectors: DataFrame, passages: DataFrame) -> DataFrame:
     """Vectors that no passage of their record contains."""
-    v, p = vectors.alias("v"), passages.select("record_id", "span_start", "span_len").alias("p")
-    inside = (F.col("v.record_id") == F.col("p.record_id")) & (F.col("v.span_start") >= F.col("p.span_start")) & (F.col("v.span_start") + F.col("v.span_len") <= F.col("p.span_start") + F.col("p.span_len"))
-    return v.join(p, inside, "left_anti")
+    return vectors.join(spans_inside(vectors, passages), ["record_id", "span_start", "span_len"], "left_anti")
 
 
 def survey(store: DataFrame, index: DataFrame) -> DataFrame:

@@ -149,6 +149,15 @@ def chunk_document(units: DataFrame, max_chars: int = 6000) -> DataFrame:
     return rows.mapInPandas(pack, "record_id string, chunk_no int, chunk string")
 
 
+def assemble_document(passages: DataFrame, titles: DataFrame) -> DataFrame:
+    """passages(record_id, span_start, body), titles(record_id, title) -> record_id, document: one section of the record's passages in order, blank ones left out, under its id."""
+    kept = passages.where("trim(body, ' \t\n\r') <> ''").select("record_id", F.struct("span_start", T.trimmed(F.col("body")).alias("body")).alias("x"))
+    joined = kept.groupBy("record_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["body"]), "\n\n").alias("joined"))
+    rows = titles.select("record_id", F.coalesce("title", F.lit("")).alias("title")).join(joined, "record_id", "left")
+    t, j = F.col("title"), F.coalesce("joined", F.lit(""))
+    return rows.select("record_id", F.concat(F.lit("#+title: "), t, F.lit("\n\n* "), t, F.lit("\n:PROPERTIES:\n:ID: "), F.col("record_id"), F.lit("\n:END:\n\n"), j, F.lit("\n")).alias("document"))
+
+
 def record_text(pieces: DataFrame) -> DataFrame:
     """passages -> record_id, text: a record's passages but the thread level, in span order, one to a line."""
     rows = pieces.where("level <> 'thread'").groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("span_start", "body"))).alias("p"))

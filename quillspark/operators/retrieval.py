@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillspark.functions import text as T
+from quillspark.operators import outline
 from quillspark.plans.staging import staged
 from quillspark.plans.versions import Change, Versions
 
@@ -119,7 +121,8 @@ def score_passages(queries: DataFrame, index: TextIndex) -> DataFrame:
     """query_id, record_id, passage_id, score of the passages that hold every term of a query."""
     rows = lexical_join(queries, index).join(F.broadcast(index.stats))  # one row
     rows = rows.withColumn("s", bm25(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")))
-    return rows.groupBy("query_id", "record_id", "passage_id").agg(F.sum("s").alias("score"))
+    # rounded, so that equal passages have equal scores in whatever order their terms were summed
+    return rows.groupBy("query_id", "record_id", "passage_id").agg(F.round(F.sum("s"), 9).alias("score"))
 
 
 def best_passage(scored: DataFrame) -> DataFrame:
@@ -222,6 +225,7 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, query_block: int = 512,
 
     The cosine of every query with every vector, 0 where lengths differ, a norm is 0 or a vector or component is null.  Both sides are
     packed into blocks and each pair of blocks is one row of an equi-join, so nothing is broadcast by hint and no task holds more than blocks.
+    All pairs are rows here, for what is defined on all of them; ``dense_best`` keeps the best ones only.
     """
     q, _ = _in_blocks(queries.select("query_id", "qvec"), "q", query_block)
     v, n = _in_blocks(vectors.select("record_id", "vec_id", "embedding"), "v", vector_block)
@@ -231,6 +235,107 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, query_block: int = 512,
     return pairs.mapInArrow(partial(_block_cosines, kinds=kinds), out)
 
 
+def _pair_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row, each summed alike wherever it stands: equal vectors get equal similarities."""
+    norm = np.sqrt(np.einsum("ik,ik->i", x, x)) * np.sqrt(np.einsum("ik,ik->i", y, y))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norm == 0, 0.0, np.einsum("ik,ik->i", x, y) / norm)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(np.einsum("ik,ik->i", x, x))[:, None]
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+#: Matrix products and sums pair by pair differ by less than this.
+_CLOSE = 1e-9
+
+
+def _best_of(similar: np.ndarray, starts: np.ndarray, top: int) -> np.ndarray:
+    """Per query and record, whose vectors stand together from each of these places on, the mean of the best `top` similarities."""
+    sizes, total, rest = np.diff(np.append(starts, similar.shape[1])), 0.0, similar.copy()
+    at = np.arange(similar.shape[1])
+    for i in range(min(top, int(sizes.max()))):
+        best = np.maximum.reduceat(rest, starts, axis=1)
+        total = total + np.where(sizes > i, best, 0.0)
+        if i + 1 < top:
+            first = np.minimum.reduceat(np.where(rest == np.repeat(best, sizes, axis=1), at, len(at)), starts, axis=1)
+            rest[np.arange(len(rest))[:, None], np.minimum(first, len(at) - 1)] = -np.inf
+    return total / np.minimum(sizes, top)
+
+
+def _block_best(batches, kinds: list, top: int, limit: int, together: int = 1 << 20):
+    """The records of a block that can be among the `limit` best of a query of a block, with their best similarities; of open records all.
+
+    Similarities come from a matrix product; the records that it puts within reach of the limit are then summed pair by pair.
+    """
+    schema = pa.schema(kinds)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            q, v = (batch.column(batch.schema.get_field_index(c))[i].values for c in ("q_rows", "v_rows"))
+            v = v.take(pc.sort_indices(pa.table({"r": v.field("record_id"), "v": v.field("vec_id")}), sort_keys=[("r", "ascending"), ("v", "ascending")]))
+            (qs, n_q), (vs, n_v) = _matrix(q.field("qvec")), _matrix(v.field("embedding"))
+            record = v.field("record_id").dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.append(True, record[1:] != record[:-1]))
+            opened = v.field("open").to_numpy(zero_copy_only=False)[starts]
+            sizes, step = np.diff(np.append(starts, n_v)), max(1, together // n_v)
+            place = {n: (dict(zip(at.tolist(), range(len(at)))), x) for n, (at, x) in qs.items()}
+            unit = {n: (at, _unit(y)) for n, (at, y) in vs.items()}
+            for lo in range(0, n_q, step):
+                hi = min(lo + step, n_q)
+                similar = np.zeros((hi - lo, n_v))
+                for n in qs.keys() & vs.keys():
+                    at_q = qs[n][0]
+                    own = np.flatnonzero((at_q >= lo) & (at_q < hi))
+                    if len(own):
+                        similar[np.ix_(at_q[own] - lo, unit[n][0])] = _unit(qs[n][1][own]) @ unit[n][1].T
+                near = _best_of(similar, starts, top)
+                least = np.partition(near, max(0, near.shape[1] - limit), axis=1)[:, max(0, near.shape[1] - limit), None] - _CLOSE
+                of_q, of_r = np.nonzero((near >= least) | opened[None, :])
+                # those records' vectors, pair by pair
+                n = sizes[of_r]
+                pair = np.repeat(np.arange(len(of_r)), n)
+                at_v = np.repeat(starts[of_r], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                exact = np.zeros(len(pair))
+                for dims in qs.keys() & vs.keys():
+                    to_q, to_v = np.full(n_q, -1), np.full(n_v, -1)
+                    to_q[qs[dims][0]], to_v[vs[dims][0]] = np.arange(len(qs[dims][0])), np.arange(len(vs[dims][0]))
+                    a, b = to_q[lo + of_q[pair]], to_v[at_v]
+                    both = np.flatnonzero((a >= 0) & (b >= 0))
+                    exact[both] = _pair_cosines(qs[dims][1][a[both]], vs[dims][1][b[both]])
+                order = np.lexsort((at_v, -exact, pair))
+                pair, at_v, exact = pair[order], at_v[order], exact[order]
+                kept = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) < top
+                pair, at_v, exact = pair[kept], at_v[kept], exact[kept]
+                m = np.minimum(n, top)
+                borders = pa.array(np.append(0, np.cumsum(m)).astype(np.int32))
+                columns = [q.field("query_id").take(pa.array(lo + of_q)), v.field("record_id").take(pa.array(starts[of_r])), pa.ListArray.from_arrays(borders, pa.array(exact)), pa.array(opened[of_r])]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def dense_best(queries: DataFrame, vectors: DataFrame, top: int, limit: int, query_block: int = 512, vector_block: int = 16384) -> DataFrame:
+    """query_id, record_id, score: the mean of a record's best `top` similarities, for at least the `limit` best records of every query.
+
+    A record's vectors are dealt into one block, which gives the best records of the block alone; records of more than a quarter of
+    a block are open: their vectors are dealt over all blocks, each gives their best similarities there, and these are merged.  So
+    rows are at most queries x blocks x (limit + open records), and pairs of vectors are none.
+    """
+    keep = vectors.select("record_id", "vec_id", "embedding").where("record_id is not null")
+    n = max(1, -(-keep.count() // vector_block))
+    sizes = keep.groupBy("record_id").agg(F.count("*").alias("held")).where(F.col("held") > vector_block // 4)
+    rows = keep.join(sizes, "record_id", "left").withColumn("open", F.col("held").isNotNull()).drop("held")
+    by = F.when(F.col("open"), F.xxhash64("record_id", "vec_id", "embedding")).otherwise(F.xxhash64("record_id"))
+    own = ["record_id", "vec_id", "embedding", "open"]
+    v = rows.groupBy(F.pmod(by, F.lit(n)).cast("int").alias("v")).agg(F.collect_list(F.struct(*own)).alias("v_rows"))
+    q, _ = _in_blocks(queries.select("query_id", "qvec"), "q", query_block)
+    pairs = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(v, "v").select("q_rows", "v_rows")
+    out = StructType([queries.schema["query_id"], vectors.schema["record_id"], StructField("best", ArrayType(DoubleType())), StructField("open", BooleanType())])
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in out]
+    found = pairs.mapInArrow(partial(_block_best, kinds=kinds, top=top, limit=limit), out)
+    merged = found.groupBy("query_id", "record_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, top).alias("best"))
+    return merged.select("query_id", "record_id", (F.aggregate("best", F.lit(0.0), lambda s, x: s + x) / F.size("best")).alias("score"))
+
+
 def pool_max(scores: DataFrame) -> DataFrame:
     return scores.groupBy("query_id", "record_id").agg(F.max("similarity").alias("score"))
 
@@ -240,10 +345,25 @@ def pool_mean_top3(scores: DataFrame) -> DataFrame:
     return scores.withColumn("r", F.row_number().over(order)).where("r <= 3").groupBy("query_id", "record_id").agg(F.avg("similarity").alias("score"))
 
 
+def ordered_within(scores: DataFrame, bins: int = 4096) -> DataFrame:
+    """scores with i, the place of a similarity among all of its query (ties by record and vector), and n, how many those are.
+
+    Counts by range of similarity come first; a place is how many lie in lower ranges and the place within the range, so no task
+    holds all of a query.
+    """
+    held = scores.withColumn("bin", F.least(F.greatest(F.floor((F.col("similarity") + 1) * (bins / 2)), F.lit(0)), F.lit(bins - 1)).cast("int"))
+    counts = held.groupBy("query_id", "bin").agg(F.count("*").alias("in_bin"))
+    # a query's counts are at most `bins` rows
+    of = counts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("bin", "in_bin"))).alias("all"), F.sum("in_bin").alias("n"))
+    below = F.transform("all", lambda x, i: F.struct(x["bin"].alias("bin"), F.aggregate(F.slice("all", 1, i), F.lit(0).cast("long"), lambda s, y: s + y["in_bin"]).alias("below")))
+    lower = of.select("query_id", "n", F.inline(below))
+    order = Window.partitionBy("query_id", "bin").orderBy("similarity", "record_id", "vec_id")
+    return held.withColumn("within", F.row_number().over(order)).join(lower, ["query_id", "bin"]).withColumn("i", F.col("below") + F.col("within")).drop("bin", "below", "within")
+
+
 def pool_length_norm(scores: DataFrame) -> DataFrame:
     """A record's best score less the mean maximum of as many draws from the query's own scores."""
-    asc = Window.partitionBy("query_id").orderBy("similarity", "record_id", "vec_id")
-    every = scores.withColumn("i", F.row_number().over(asc)).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    every = ordered_within(scores)
     best = scores.groupBy("query_id", "record_id").agg(F.max("similarity").alias("best"), F.count("*").alias("draws"))
     lengths = best.select("query_id", "draws").distinct()
     step = F.pow(F.col("i") / F.col("n"), F.col("draws")) - F.pow((F.col("i") - 1) / F.col("n"), F.col("draws"))
@@ -262,8 +382,19 @@ def vector_candidates(scored: DataFrame, n: int = 100) -> DataFrame:
     return signal_rank(scored, n)
 
 
+#: Poolings that a block can begin: how many of a record's best similarities they average.
+PARTIAL = {"max": 1, "mean_top3": 3}
+
+
+def pooled(queries: DataFrame, vectors: DataFrame, pooling: str, limit: int) -> DataFrame:
+    """query_id, record_id, score of at least the `limit` best records of every query."""
+    if pooling in PARTIAL:
+        return dense_best(queries, vectors, PARTIAL[pooling], limit)
+    return POOLINGS[pooling](staged(dense_scores(queries, vectors)))
+
+
 def search_dense(queries: DataFrame, vectors: DataFrame, pooling: str = "mean_top3", floor: float | None = None, limit: int = 100) -> DataFrame:
-    return vector_candidates(similarity_floor(POOLINGS[pooling](dense_scores(queries, vectors)), floor), limit)
+    return vector_candidates(similarity_floor(pooled(queries, vectors, pooling, limit), floor), limit)
 
 
 def rrf(signals: list[DataFrame], k: int = 60) -> DataFrame:
@@ -297,17 +428,54 @@ def rerank(hits: DataFrame, queries: DataFrame, texts: DataFrame, scorer: Scorer
     return new.join(keep, "query_id", "left_anti").unionByName(hits.join(keep, "query_id", "left_semi").select(new.columns))
 
 
+#: A way to find records: queries(query_id, query) -> query_id, record_id, score.
+Signal = Callable[[DataFrame], DataFrame]
+
+
+def lexical_signal(index: DataFrame | TextIndex) -> Signal:
+    """Passages, or an index of them, as a signal."""
+    return lambda queries: search_lexical(queries, index)
+
+
+def dense_signal(vectors: DataFrame, qvecs: DataFrame, pooling: str = "mean_top3", floor: float | None = None, candidates: int = 100) -> Signal:
+    """Vectors of records and of queries as a signal."""
+    return lambda queries: search_dense(qvecs.join(queries.select("query_id"), "query_id", "left_semi"), vectors, pooling, floor, candidates)
+
+
+def search_signals(queries: DataFrame, signals: dict[str, Signal], titles: DataFrame, limit: int = 10, similarity: str | None = None, reranked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Any signals, each ranked by its own scores and fused by rank; similarity names the one whose score is shown beside."""
+    ranked = {name: signal_rank(find(queries).select("query_id", "record_id", "score")) for name, find in signals.items()}
+    if not ranked:
+        raise ValueError("no signal given")
+    return _hits(rrf(list(ranked.values())), ranked.get(similarity), titles, limit, reranked)
+
+
 def search_hybrid(
-    queries: DataFrame, passages: DataFrame, vectors: DataFrame | None, titles: DataFrame, qvecs: DataFrame | None = None, *,
-    limit: int = 10, pooling: str = "mean_top3", floor: float | None = None, candidates: int = 100, scorer: Scorer | None = None, texts: DataFrame | None = None,
+    queries: DataFrame, passages: DataFrame | TextIndex, vectors: DataFrame | None, titles: DataFrame, qvecs: DataFrame | None = None, *,
+    limit: int = 10, pooling: str = "mean_top3", floor: float | None = None, candidates: int = 100, scorer: Scorer | None = None, texts: DataFrame | None = None, signals: Sequence[Signal] = (),
 ) -> DataFrame:
-    """query_id, rank, record_id, score, similarity (null if the dense half did not find it), title ('' if unknown)."""
-    signals = [search_lexical(queries, passages)]
+    """query_id, rank, record_id, score, similarity (null if the dense half did not find it), title ('' if unknown); signals: further ones to fuse."""
+    found = [search_lexical(queries, passages)]
     similar = None
     if vectors is not None and qvecs is not None:
         similar = search_dense(qvecs, vectors, pooling, floor, candidates)
-        signals.append(similar)
-    return _hits(rrf(signals), similar, titles, limit, (lambda fused: rerank(fused, queries, texts, scorer)) if scorer is not None else None)
+        found.append(similar)
+    found += [signal_rank(s(queries).select("query_id", "record_id", "score")) for s in signals]
+    return _hits(rrf(found), similar, titles, limit, (lambda fused: rerank(fused, queries, texts, scorer)) if scorer is not None else None)
+
+
+def rewrite_queries(queries: DataFrame, rewriter: Callable[[pd.Series], pd.Series] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, query rewritten) and (query_id, reason) of those refused: nothing came back, or a loop of one phrase.
+
+    Without a rewriter by the fixed rule.  A refused query is not searched under the strategy's name, nor as it was.
+    """
+    if rewriter is None:
+        return queries.select("query_id", T.rewrite_template(F.col("query")).alias("query")), queries.select("query_id", F.lit("").alias("reason")).where("false")
+    made = staged(queries.select("query_id", T.clean_completion(F.pandas_udf(rewriter, "string")("query")).alias("query")))
+    loops = outline.is_degenerate(made.select(F.col("query_id").alias("id"), "query").withColumnRenamed("query", "text")).where("degenerate").select(F.col("id").alias("query_id"), F.lit("loop").alias("reason"))
+    empty = made.where("coalesce(query, '') = ''").select("query_id", F.lit("empty").alias("reason"))
+    refused = loops.unionByName(empty)
+    return made.join(refused, "query_id", "left_anti"), refused
 
 
 def fuse(lexical: DataFrame, similar: DataFrame, titles: DataFrame, limit: int = 10) -> DataFrame:
@@ -339,14 +507,16 @@ def similarity_pairs(vectors: DataFrame, record: str) -> DataFrame:
 
 def similar(vectors: DataFrame, record: str, limit: int) -> DataFrame:
     """The records nearest to a record by their best pair of vectors."""
-    best = similarity_pairs(vectors, record).groupBy("record_id").agg(F.max("similarity").alias("score"))
+    mine = vectors.where(F.col("record_id") == record).select(F.lit(0).alias("query_id"), F.col("embedding").alias("qvec"))
+    best = dense_best(mine, vectors.where(F.col("record_id") != record), 1, limit).groupBy("record_id").agg(F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), "record_id").limit(limit)
 
 
 def similar_all(vectors: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """seeds(record_id) -> query_id, record_id, score, rank: `similar` for many records at once; a seed without vectors has no rows."""
     mine = vectors.join(seeds.select("record_id"), "record_id", "left_semi").select(F.col("record_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    best = dense_scores(mine, vectors).where("query_id <> record_id").groupBy("query_id", "record_id").agg(F.max("similarity").alias("score"))
+    # the seed itself may be among the best
+    best = dense_best(mine, vectors, 1, limit + 1).where("query_id <> record_id")
     return signal_rank(best, limit)
 
 

@@ -51,6 +51,25 @@ def neighborhood(spark, d):
     return links.neighborhood(li, r, r.where(F.col("record_id").isin("doc-1", "doc-3", "doc-10", "doc-24")).select("record_id"))
 
 
+@query(f"""with {_RESOLVED}, s as (select record_id as seed from fx_records where record_id like '%5')
+  select s.seed, coalesce((select list([l.resolved, coalesce(r.title, '')] order by l.span_start, l.resolved) from resolved l left join fx_records r on r.record_id = l.resolved where l.record_id = s.seed and l.resolved is not null), []) as links_to,
+    coalesce((select list([l.record_id, coalesce(r.title, '')] order by l.record_id) from resolved l left join fx_records r using (record_id) where l.resolved = s.seed), []) as linked_from from s""")
+def context(spark, d):
+    li, r = _two(spark, d)
+    asked = r.where("record_id like '%5'").select("record_id").union(spark.createDataFrame([("doc-none",)], "record_id string"))
+    pairs = lambda c: F.transform(c, lambda x: F.array(x["id"], x["title"])).alias(c)
+    return links.context(li, r, asked).select("seed", pairs("links_to"), pairs("linked_from"))
+
+
+@query(f"""with recursive {_RESOLVED}, e as (select record_id as u, resolved as v from resolved where resolved is not null union select resolved, record_id from resolved where resolved is not null),
+  walk(seed, record_id, distance) as (select record_id, record_id, 0 from fx_records union select w.seed, e.v, w.distance + 1 from walk w join e on e.u = w.record_id where w.distance < 2)
+  select seed, record_id, min(distance) as distance from walk group by 1, 2""")
+def link_distance_all(spark, d):
+    """Every record as a seed."""
+    li, r = _two(spark, d)
+    return links.link_distance(li, r, r.select("record_id"), 2)
+
+
 @query(f"""with recursive {_RESOLVED}, e as (select record_id as u, resolved as v from resolved where resolved is not null union select resolved, record_id from resolved where resolved is not null),
   walk(seed, record_id, distance) as (select record_id, record_id, 0 from fx_records where record_id in ('doc-0', 'doc-7') union select w.seed, e.v, w.distance + 1 from walk w join e on e.u = w.record_id where w.distance < 3)
   select seed, record_id, min(distance) as distance from walk group by 1, 2""")
@@ -114,6 +133,11 @@ def list_records(spark, d):
     return show("all", corpus.list_records(r, "notes")).union(show("transcripts", corpus.records_of_kind(r, "session-transcript"))).union(show("toxic", corpus.records_tagged(r, t, "Toxic")))
 
 
+@query("select record_id, title, coalesce((select list_sort(list(distinct t.tag)) from fx_tags t where t.record_id = r.record_id), []) as tags from fx_records r")
+def all_nodes(spark, d):
+    return corpus.all_nodes(fixture(spark, d, "fx_records"), fixture(spark, d, "fx_tags"))
+
+
 @query("select record_id, vec_id, span_start from fx_records join fx_vectors using (record_id) where corpus = 'notes'")
 def passages_in(spark, d):
     return corpus.passages_in(fixture(spark, d, "fx_records"), fixture(spark, d, "fx_vectors"), "notes").select("record_id", "vec_id", "span_start")

@@ -214,6 +214,21 @@ def add_drawer(spark, d):
     return r.select("record_id", T.add_drawer(F.col("title"), {"ID": F.col("record_id"), "PROJECT": F.col("project")}).alias("text"), T.provenance_json({"project": F.col("project")}).alias("provenance"))
 
 
+@query("""select record_id, case when project is null and context is null then '' else chr(10) || 'provenance:' || chr(10) || '  ' || concat_ws(chr(10) || '  ', 'project: ' || project, 'context: ' || context, 'domains: ' || concat_ws(', ', project, context)) || chr(10) end as block
+  from fx_records""")
+def provenance_text(spark, d):
+    r = fixture(spark, d, "fx_records")
+    return r.select("record_id", T.provenance_text({"project": F.col("project"), "context": F.col("context"), "domains": F.concat_ws(", ", "project", "context"), "model": F.lit(None).cast("string")}).alias("block"))
+
+
+@query("""select r.record_id, '#+title: ' || title || chr(10) || chr(10) || '* ' || title || chr(10) || ':PROPERTIES:' || chr(10) || ':ID: ' || r.record_id || chr(10) || ':END:' || chr(10) || chr(10) || coalesce(j.joined, '') || chr(10) as document
+  from fx_records r left join (select record_id, string_agg(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) order by no) as joined from (select record_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from fx_texts)
+    where regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' group by 1) j using (record_id)""")
+def assemble_document(spark, d):
+    passages = fixture(spark, d, "fx_texts").select("record_id", F.posexplode(F.split("text", "\n")).alias("span_start", "body"))
+    return outline.assemble_document(passages, fixture(spark, d, "fx_records"))
+
+
 @query("select record_id, project, project is null or trim(project) <> '' as valid, strpos(title || chr(10), chr(10)) = 0 as multi_valid from fx_records")
 def validate_provenance(spark, d):
     r = fixture(spark, d, "fx_records")

@@ -48,7 +48,7 @@ _LEX = """p as (select record_id, no as passage_id, regexp_extract_all(lower(bod
   vt as (select term, tok from (select distinct term from qt) join (select distinct tok from tk) on starts_with(tok, term)),
   h as (select query_id, term_no, record_id, passage_id, dl, count(*) as tf from qt join vt using (term) join tk using (tok) group by all),
   dfs as (select query_id, term_no, count(*) as df from h group by all),
-  sc as (select query_id, record_id, passage_id, count(*) as found, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score
+  sc as (select query_id, record_id, passage_id, count(*) as found, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) as score
     from h join dfs using (query_id, term_no) cross join st group by all),
   lexp as (select sc.* exclude (found) from sc join (select query_id, count(*) as need from qt group by 1) using (query_id) where found = need),
   lex as (select query_id, record_id, score, row_number() over (partition by query_id order by score desc, record_id) as rank from (select query_id, record_id, max(score) as score from lexp group by all))"""
@@ -113,8 +113,17 @@ def match_terms(spark, d):
     return got.select("record_id", F.col("passage_id").cast("long").alias("passage_id"))
 
 
-@query(f"with {_DENSE} select query_id, vec_id, round(similarity, 6) as similarity from ds")
+@query("select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def cosine(spark, d):
+    """Every vector with the next one."""
+    v = table(spark, d, "embeddings")
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(after, "vec_id").select("vec_id", F.round(R.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+@query(f"with {_DENSE} select query_id, vec_id, round(similarity, 6) as similarity from ds")
+def dense_scores(spark, d):
+    """All pairs of the query set, as the length-normalised pooling needs them."""
     return R.dense_scores(_qvecs(spark, d), _vectors(spark, d)).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -125,14 +134,18 @@ def dense_join(spark, d):
     return R.dense_join(v, fixture(spark, d, "fx_records")).select("vec_id", "record_id", "stream_hash")
 
 
+#: Every record of a query, where the pooled scores are the result.
+_ALL = 1 << 30
+
+
 @query(f"with {_DENSE} select query_id, record_id, round(max(similarity), 6) as score from ds group by all")
 def pool_max(spark, d):
-    return R.pool_max(R.dense_scores(_qvecs(spark, d), _vectors(spark, d))).withColumn("score", F.round("score", 6))
+    return R.pooled(_qvecs(spark, d), _vectors(spark, d), "max", _ALL).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_DENSE} select query_id, record_id, round(score, 6) as score from top3")
 def pool_mean_top3(spark, d):
-    return R.pool_mean_top3(R.dense_scores(_qvecs(spark, d), _vectors(spark, d))).withColumn("score", F.round("score", 6))
+    return R.pooled(_qvecs(spark, d), _vectors(spark, d), "mean_top3", _ALL).withColumn("score", F.round("score", 6))
 
 
 @query(f"""with {_DENSE}, e as (select *, row_number() over (partition by query_id order by similarity, record_id, vec_id) as i, count(*) over (partition by query_id) as n from ds),
@@ -145,12 +158,12 @@ def pool_length_norm(spark, d):
 
 @query(f"with {_DENSE} select query_id, record_id, round(score, 6) as score from top3 where score >= 0.15")
 def similarity_floor(spark, d):
-    return R.similarity_floor(R.pool_mean_top3(R.dense_scores(_qvecs(spark, d), _vectors(spark, d))), 0.15).withColumn("score", F.round("score", 6))
+    return R.similarity_floor(R.pooled(_qvecs(spark, d), _vectors(spark, d), "mean_top3", _ALL), 0.15).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_DENSE} select query_id, record_id, rank from (select *, row_number() over (partition by query_id order by score desc, record_id) as rank from top3) where rank <= 15")
 def vector_candidates(spark, d):
-    got = R.vector_candidates(R.pool_mean_top3(R.dense_scores(_qvecs(spark, d), _vectors(spark, d))), 15)
+    got = R.vector_candidates(R.pooled(_qvecs(spark, d), _vectors(spark, d), "mean_top3", 15), 15)
     return got.select("query_id", "record_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -170,6 +183,40 @@ def search_hybrid(spark, d):
     return got.select("query_id", F.col("rank").cast("long").alias("rank"), "record_id", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "title")
 
 
+_THIRD = "th as (select item_id as query_id, concat('doc-', doc_id) as record_id, row_number() over (partition by item_id order by 1.0 / (1 + doc_id) desc, concat('doc-', doc_id)) as rank from benchmark join documents on doc_id % 50 = item_id % 50)"
+
+
+def _by_number(spark, d):
+    """A signal from outside: records whose number ends as the query's, earlier ones first."""
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 50).alias("k"))
+    return lambda queries: queries.select("query_id", (F.col("query_id") % 50).alias("k")).where("query_id < 1000000").join(docs, "k").select("query_id", F.concat(F.lit("doc-"), "doc_id").alias("record_id"), (1.0 / (1 + F.col("doc_id"))).alias("score"))
+
+
+@query(f"""with {_LEX}, {_DENSE}, {_THIRD}, fu as (select query_id, record_id, sum(1.0 / (60 + rank)) as score from (select query_id, record_id, rank from lex union all
+    select query_id, record_id, rank from den where rank <= 100 and query_id in (select query_id from q) union all select query_id, record_id, rank from th) group by all)
+  select f.query_id, f.record_id, round(f.score, 6) as score, f.rank, round(den.score, 6) as similarity, coalesce(r.title, '') as title from (select *, row_number() over (partition by query_id order by score desc, record_id) as rank from fu qualify rank <= 10) f
+  left join (select * from den where rank <= 100) den using (query_id, record_id) left join fx_records r using (record_id)""")
+def search_signals(spark, d):
+    """Full text, vectors and a signal from outside, as a list."""
+    signals = {"lexical": R.lexical_signal(_index(spark, d)), "dense": R.dense_signal(_vectors(spark, d), _qvecs(spark, d), floor=0.1), "number": _by_number(spark, d)}
+    got = R.search_signals(_queries(spark, d), signals, fixture(spark, d, "fx_records"), 10, "dense")
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "record_id", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), "title")
+
+
+@query("""with l as (select item_id + 1000000 * (no - 1) as query_id, line from (select item_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from benchmark))
+  select query_id, case when query_id % 5 in (0, 1) then null else 'about ' || trim(regexp_replace(line, '\\s+', ' ', 'g'), ' ') end as query, case query_id % 5 when 0 then 'empty' when 1 then 'loop' end as reason from l where query_id % 1000000 < 1000000""")
+def rewrite_queries(spark, d):
+    """A rewriter that comes back empty for some and loops for others: those are refused."""
+
+    def rewriter(text: pd.Series) -> pd.Series:
+        number = text.str.extract(r"^(\d+) ", expand=False).astype(int) % 5
+        return pd.Series(["<think>no</think>" if n == 0 else "so it goes " * 20 if n == 1 else f'Answer: "about {t.split(" ", 1)[1]}"' for n, t in zip(number, text)])
+
+    asked = _queries(spark, d).select("query_id", F.concat("query_id", F.lit(" "), "query").alias("query"))
+    good, refused = R.rewrite_queries(asked, rewriter)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(refused.withColumn("query", F.lit(None).cast("string")), allowMissingColumns=True)
+
+
 def _signals(spark, d):
     return R.search_lexical(_queries(spark, d), _passages(spark, d)), R.search_dense(_qvecs(spark, d), _vectors(spark, d), floor=0.1)
 

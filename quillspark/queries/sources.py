@@ -89,7 +89,12 @@ def dump_tables(spark, d):
     return S.dump_tables(links=fixture(spark, d, "fx_links"), tags=fixture(spark, d, "fx_tags"))
 
 
-@query()
+@query("""with n as (select n.record_id, r.title, n.text, 'doc-' || ((n.doc_id * 7 + 3) % 300) as to_id, 'slug-' || ((n.doc_id * 11) % 400) as to_slug from fx_notes n join fx_records r using (record_id)),
+  s as (select name_slug, min(record_id) as by_slug from fx_records where name_slug is not null group by 1),
+  j as (select n.*, i.record_id as by_id, s.by_slug from n left join fx_records i on i.record_id = n.to_id left join s on s.name_slug = n.to_slug)
+  select 'notes/' || record_id as page, '---' || chr(10) || 'title: ' || title || chr(10) || '---' || chr(10) || replace(replace(replace(text, '[[id:' || to_id || ']]', case when by_id is null then to_id else '[[notes/' || to_id || '|' || to_id || ']]' end),
+    '[[' || to_slug || '][words]]', case when by_slug is null then 'words' else '[[notes/' || by_slug || '|words]]' end), '[[https://example.invalid/]]', '[https://example.invalid/](https://example.invalid/)') as body,
+    list_filter([case when by_id is null then to_id end, case when by_slug is null then to_slug end], lambda x: x is not null) as unresolved from j""")
 def project_pages(spark, d):
     notes = fixture(spark, d, "fx_notes")
     r = fixture(spark, d, "fx_records").select("record_id", "corpus", "title", "name_slug").join(notes.select("record_id", "text"), "record_id")

@@ -120,13 +120,20 @@ def dump_tables(**tables: DataFrame) -> DataFrame:
 
 
 def project_pages(records: DataFrame, links: DataFrame) -> DataFrame:
-    """records(record_id, corpus, title, text), resolved links(record_id, target, resolved, description) -> page, body, unresolved.
+    """records(record_id, corpus, title, text), resolved links(record_id, target_kind, target, description, resolved, span_start, span_len) -> page, body, unresolved.
 
-    Links become wikilinks of pages; a target without a page stays as text and is counted.
+    Every link is replaced where it stands, by its byte span: a record with a page becomes a wikilink, an address stays one, all else
+    becomes the words shown.  unresolved lists the targets of the last kind in order of place, those within the document left out.
+    Spans that overlap an earlier one, or leave the text, are passed over.
     """
     pages = records.select("record_id", T.page_name(F.col("corpus"), F.col("record_id")).alias("page"), "title", "text")
     to = pages.select(F.col("record_id").alias("resolved"), F.col("page").alias("to_page"))
-    marked = links.join(to, "resolved", "left").select("record_id", T.link_markup(F.col("target_kind"), F.col("target"), F.coalesce("description", "target"), F.col("to_page")).alias("mark"), (F.col("to_page").isNull() & (F.col("target_kind") != "url")).cast("long").alias("open"))
-    per = marked.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_list("mark")), "\n").alias("marks"), F.sum("open").alias("unresolved"))
-    body = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), F.col("title")), F.lit("---"), T.body_without_links(F.col("text")), "marks")
-    return pages.join(per, "record_id", "left").select("page", body.alias("body"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"))
+    within = F.col("target").startswith("#") | F.col("target").startswith("mailto:") | F.col("target").contains("://")
+    kind = F.when(within, "url").otherwise(F.col("target_kind"))
+    marked = links.join(to, "resolved", "left").select(
+        "record_id", F.struct(F.col("span_start").cast("int").alias("at"), (F.col("span_start") + F.col("span_len")).cast("int").alias("end"), T.link_markup(kind, F.col("target"), F.coalesce("description", "target"), F.col("to_page")).alias("mark"),
+        F.when(F.col("to_page").isNull() & (kind != "url"), F.col("target")).alias("open")).alias("x"),
+    )
+    per = marked.groupBy("record_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    rows = pages.join(per, "record_id", "left").select("page", "title", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("xs", F.array().cast(per.schema["xs"].dataType)).alias("xs"))
+    return rows.select("page", F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), F.coalesce("title", F.lit(""))), F.lit("---"), T.spliced(F.col("text"), F.col("xs"))).alias("body"), F.filter(F.transform("xs", lambda x: x["open"]), lambda t: t.isNotNull()).alias("unresolved"))

@@ -29,15 +29,15 @@ def corpus(spark, tmp_path_factory):
 
 def test_evaluation_searches(spark, corpus):
     assert QUERIES["score_questions"](spark, corpus).where("question_id = 5").first().best_rank is None  # the stand-in
-    got = {r.question_id: r for r in QUERIES["score_questions_searched"](spark, corpus).collect()}
+    got = {r.question_id: r for r in QUERIES["score_questions"](spark, corpus).collect()}
     # the text's first and the vectors' first tie; ties go by id
     assert got[5].hit_id == "doc-685" and got[5].best_rank <= 2 and got[8].best_rank is None
-    assert QUERIES["match_expectations_searched"](spark, corpus).count() == 1
-    rows = QUERIES["evaluate_searched"](spark, corpus).collect()
+    assert QUERIES["match_expectations"](spark, corpus).count() == 1
+    rows = QUERIES["evaluate"](spark, corpus).collect()
     assert len(rows) == 9 and {(r.questions, r.misses, r.recall_5) for r in rows} == {(2, 1, 0.5)}
     # a floor of 0.4 leaves fewer candidates than none
     by = {(r.pooling, r.floor): r.mean_candidates for r in rows}
     assert by["mean_top3", 0.4] < by["mean_top3", None]
-    assert QUERIES["eval_breakdown_searched"](spark, corpus).count() == 5 and QUERIES["eval_aggregate_searched"](spark, corpus).first().misses == 1
-    seen = {(r.question_id, r.stage): r.expected_rank for r in QUERIES["signal_contributions_searched"](spark, corpus).collect()}
+    assert QUERIES["eval_breakdown"](spark, corpus).count() == 5 and QUERIES["eval_aggregate"](spark, corpus).first().misses == 1
+    seen = {(r.question_id, r.stage): r.expected_rank for r in QUERIES["signal_contributions"](spark, corpus).collect()}
     assert seen[5, "lexical"] == 1 and seen[5, "dense"] is None
