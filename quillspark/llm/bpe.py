@@ -42,7 +42,7 @@ from quillspark.llm.buffers import LOWER, SPACE, row_sums, texts, tidy, words
 #: Chunks that need the library's splitter a worker remembers within a task; then it starts anew.
 REMEMBERED = 40_000
 #: Arc lookups, transitions of long pieces and automaton states a worker remembers (some 0.4 kB a state); then each starts anew.
-ARCS, MOVES, STATES = 200_000, 100_000, 120_000
+ARCS, MOVES, STATES = 200_000, 50_000, 150_000
 #: Bytes of text whose pieces are told apart together; a longer text comes alone.
 TOGETHER = 1 << 20
 #: Pieces that go through the automaton side by side, and the symbols above which a piece goes alone.
@@ -303,7 +303,8 @@ class Tokenizer:
         self.automaton = Automaton(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        library = tokenizers.Tokenizer.from_file(path)
+        # without the vocabulary, which is not needed for that
+        library = tokenizers.Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         label = dict(enumerate(self.automaton.label)) | {i: x for x, i in self.special.items()}
         self.labels = pa.array([label[i] for i in range(len(label))], pa.string())
