@@ -85,25 +85,25 @@ def percentiles(values: DataFrame, by: Sequence[str], column: str, shares: Seque
     the two rows around each share.
     """
     cell = F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
-    counts = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c")).withColumn("cell", cell)
-    parts = staged(counts.repartitionByRange("cell", column).withColumn("part", F.spark_partition_id()))
-    sizes = parts.groupBy("cell", "part").agg(F.sum("c").alias("size"))
-    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("n", F.sum("size").over(Window.partitionBy("cell")))
-    upto = Window.partitionBy("cell", "part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    placed = parts.join(sizes.drop("size"), ["cell", "part"]).withColumn("upto", F.col("before") + F.sum("c").over(upto))
+    counts = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c")).withColumn("_cell", cell)
+    parts = staged(counts.repartitionByRange("_cell", column).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_cell", "_part").agg(F.sum("c").alias("size"))
+    before = Window.partitionBy("_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("n", F.sum("size").over(Window.partitionBy("_cell")))
+    upto = Window.partitionBy("_cell", "_part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.join(sizes.drop("size"), ["_cell", "_part"]).withColumn("upto", F.col("before") + F.sum("c").over(upto))
     at = lambda place: F.max(F.when((place >= F.col("upto") - F.col("c")) & (place < F.col("upto")), F.col(column)))
     place = {q: F.lit(q) * (F.col("n") - 1) for q in shares}
     ends = [x for i, q in enumerate(shares) for x in (at(F.floor(place[q])).alias(f"lo_{i}"), at(F.ceil(place[q])).alias(f"hi_{i}"))]
-    got = placed.groupBy("cell").agg(F.max("n").alias("n"), *[F.min(c).alias(c) for c in by], *ends)
+    got = placed.groupBy("_cell").agg(F.max("n").alias("n"), *[F.min(c).alias(c) for c in by], *ends)
     part = lambda q: place[q] - F.floor(place[q])
-    return got.select("cell", F.array(*[F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}")) * part(q) for i, q in enumerate(shares)]).alias("p"))
+    return got.select("_cell", F.array(*[F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}")) * part(q) for i, q in enumerate(shares)]).alias("p"))
 
 
 def latency_stats(outcomes: DataFrame, *by: str) -> DataFrame:
     """by -> n, p50, p95, max_ms, mean_ms; a cell without a value has n 0 and nulls."""
     got = outcomes.groupBy(*by).agg(F.count("latency_ms").alias("n"), F.max("latency_ms").alias("max_ms"), F.avg("latency_ms").alias("mean_ms"))
-    got = got.withColumn("cell", F.to_json(F.struct(*by), {"ignoreNullFields": "false"})).join(percentiles(outcomes, by, "latency_ms", (0.5, 0.95)), "cell", "left")
+    got = got.withColumn("_cell", F.to_json(F.struct(*by), {"ignoreNullFields": "false"})).join(percentiles(outcomes, by, "latency_ms", (0.5, 0.95)), "_cell", "left")
     return got.select(*by, "n", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), "max_ms", "mean_ms")
 
 
