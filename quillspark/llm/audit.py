@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.llm.buffers import SPACE, span_hash, texts, tidy
+from quillspark.llm.buffers import SPACE, small_batches, span_hash, texts, tidy
 
 #: Bytes of texts that are read together; a longer text comes alone, in blocks of this size.
 BLOCK = 1 << 20
@@ -178,7 +178,7 @@ def _read(batches):
 def failing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """-> doc_id, part, fails, digest: per document the filters A to D it fails, as bits, and the SHA-256 of its whole text."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(_read, "doc_id long, part string, fails int, digest binary")
+    return small_batches(src).mapInArrow(_read, "doc_id long, part string, fails int, digest binary")
 
 
 def sets(read: DataFrame, labels: DataFrame) -> DataFrame:

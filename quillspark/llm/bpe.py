@@ -37,7 +37,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.buffers import LOWER, SPACE, row_sums, texts, tidy, words
+from quillspark.llm.buffers import LOWER, SPACE, row_sums, small_batches, texts, tidy, words
 
 #: Chunks that need the library's splitter a worker remembers within a task; then it starts anew.
 REMEMBERED = 40_000
@@ -465,7 +465,7 @@ def _encoded_batch(t: Tokenizer, b: pa.RecordBatch, limit: int):
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = TOGETHER) -> DataFrame:
     """-> doc_id, n_tokens, ids array<int>, decoded: every whole text, encoded and decoded again."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(partial(_encoded, path=path, limit=batch_bytes), "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return small_batches(src).mapInArrow(partial(_encoded, path=path, limit=batch_bytes), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

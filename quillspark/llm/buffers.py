@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Fixed: the six white-space bytes of the word pattern [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, bool)
@@ -57,6 +58,18 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: Bytes of an Arrow batch where the session leaves Spark's own limit, which is 64 MB.
+ARROW_BATCH = "4m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends texts to Python a few MB at a time: a task holds a batch on either side, and an executor keeps the room for its largest ones."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "64m") in ("64m", "67108864", "67108864b"):
+        conf.set(key, ARROW_BATCH)
+    return df
+
+
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     h = h + np.uint64((salt * 0xD1B54A32D192ED03 + 0x2545F4914F6CDD1D) & (2**64 - 1))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import tokenizer
-from quillspark.llm.buffers import SPACE, texts, tidy
+from quillspark.llm.buffers import SPACE, small_batches, texts, tidy
 
 #: Tokens that are solved together.
 RUN = 1 << 18
@@ -179,4 +179,4 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, costs:
     """-> doc_id, start, length, doc_tokens, sequence_id, offset, ids: every piece with its place in document and sequence, and its ids as little-endian 32-bit numbers."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return src.mapInArrow(partial(_packed, path=path, window=window, end_id=end_id, costs=costs), schema)
+    return small_batches(src).mapInArrow(partial(_packed, path=path, window=window, end_id=end_id, costs=costs), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.buffers import SPACE, span_hash, texts, tidy, words
+from quillspark.llm.buffers import SPACE, small_batches, span_hash, texts, tidy, words
 from quillspark.llm.toxicity import labelled_sample
 
 #: Bounds: labelled documents it is trained on, bits of the bucket table, size of a vector.
@@ -44,11 +44,19 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = span_hash(data, start, end)
     again = np.flatnonzero((word[1:] == word[:-1]) & (row[1:] == row[:-1])) + 1
     buckets, rows = [(word >> shift).astype(np.int32), np.full(len(again), AGAIN, np.int32)], [row, row[again]]
-    wide = data.astype(np.uint64) + np.uint64(1)
-    size = end - start
+    # characters: where they begin, and their bytes as one number
+    lead = (data & 0xC0) != 0x80
+    first = np.flatnonzero(lead)
+    wide = data[first].astype(np.uint64)
+    for j, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        longer = data[first] >= least
+        wide[longer] |= data[first[longer] + j].astype(np.uint64) << np.uint64(8 * j)
+    wide += np.uint64(1)
+    number = np.cumsum(lead) - 1
+    start, size = number[start], number[end - 1] - number[start] + 1
     word_of = np.repeat(np.arange(len(start)), size)
-    place = np.repeat(start, size) + np.arange(len(word_of)) - np.repeat(np.cumsum(size) - size, size)
-    left = np.repeat(end, size) - place
+    within = np.arange(len(word_of)) - np.repeat(np.cumsum(size) - size, size)
+    place, left = np.repeat(start, size) + within, np.repeat(size, size) - within
     for n in GRAMS:
         own = place[left >= n]
         h = np.zeros(len(own), np.uint64)
@@ -131,7 +139,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """-> doc_id, held_out, score, predicted for every whole text."""
     table, bias = model.folded()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = src.mapInArrow(partial(_scored, table=table, bias=bias, threshold=threshold), "doc_id long, score double, predicted int")
+    out = small_batches(src).mapInArrow(partial(_scored, table=table, bias=bias, threshold=threshold), "doc_id long, score double, predicted int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
@@ -156,7 +164,7 @@ def _passed(batches, table: np.ndarray, bias: float, threshold: float):
 def passing(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that the model accepts."""
     table, bias = model.folded()
-    return docs.mapInArrow(partial(_passed, table=table, bias=bias, threshold=threshold), docs.schema)
+    return small_batches(docs).mapInArrow(partial(_passed, table=table, bias=bias, threshold=threshold), docs.schema)
 
 
 __all__ = ["SPACE", "Model", "features", "passing", "quality", "score", "train"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.buffers import LOWER, give_back, mixed, span_hash, texts, tidy, words
+from quillspark.llm.buffers import LOWER, give_back, mixed, small_batches, span_hash, texts, tidy, words
 from quillspark.plans.graph import connected_components
 from quillspark.plans.staging import Scratch, staged
 
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with Scratch() as scratch:
-        sketch = scratch(src.mapInArrow(partial(_sketches, k=k), "doc_id long, n long, k1 long, k2 long, regs binary"))
+        sketch = scratch(small_batches(src).mapInArrow(partial(_sketches, k=k), "doc_id long, n long, k1 long, k2 long, regs binary"))
         keys = ["n", "k1", "k2"]
         reps = scratch(sketch.where("n > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs")))
         members = staged(sketch.select("doc_id", *keys).join(reps.select("rep", *keys), keys, "left").select("doc_id", "n", "rep"))

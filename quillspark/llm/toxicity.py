@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.buffers import SPACE, texts, tidy
+from quillspark.llm.buffers import SPACE, small_batches, texts, tidy
 
 #: Labelled texts longer than this are not learned from (all are scored whole).
 LONGEST = 200_000
@@ -345,7 +345,7 @@ def _scored(batches, machine: Machine, threshold: float):
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
     """-> doc_id, held_out, score, predicted for every whole text."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = src.mapInArrow(partial(_scored, machine=machine, threshold=threshold), "doc_id long, score double, predicted int")
+    out = small_batches(src).mapInArrow(partial(_scored, machine=machine, threshold=threshold), "doc_id long, score double, predicted int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 

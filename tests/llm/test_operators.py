@@ -333,6 +333,51 @@ def test_quality_on_held_out_documents(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.97
 
 
+def _plain_features(text):
+    """Buckets of words, of runs of three and four characters of a word, and of a word that stands again."""
+    top = (1 << 64) - 1
+    spread = [int(x) for x in quality._SPREAD]
+    out, before = [], None
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        out.append(int(quality.span_hash(raw, np.array([0]), np.array([len(raw)]))[0]) >> (64 - quality.BITS))
+        if word == before:
+            out.append(quality.AGAIN)
+        before = word
+        for n in (3, 4):
+            for i in range(len(word) - n + 1):
+                h = 0
+                for j, c in enumerate(word[i : i + n]):
+                    h = (h + int.from_bytes(c.encode(), "little") + 1) * spread[(n + j) % 4] & top
+                    h ^= h >> 31
+                out.append((h * spread[0] & top) >> (64 - quality.BITS))
+    return out
+
+
+def test_quality_features_scores_and_a_step_match_plain_python(spark):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abcé日🙂 \n") for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["", "aa aa aa", "ünter ünter", "日本語日本語", None]
+    rows = [t or "" for t in texts]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    at = np.append(0, np.cumsum([len(t.encode()) for t in rows]))
+    bucket, row = quality.features(data, at)
+    assert [sorted(bucket[row == i].tolist()) for i in range(len(rows))] == [sorted(_plain_features(t)) for t in rows]
+    # a score is the softmax of the mean vector
+    model = quality.train([(t, i % 2) for i, t in enumerate(rows)], epochs=2)
+    for r in quality.score(_docs(spark, texts), model).collect():
+        own = _plain_features(rows[r.doc_id])
+        mean = np.mean([model.vectors[b] for b in own], axis=0) if own else np.zeros(quality.DIMS)
+        z = mean @ model.output + model.bias
+        assert abs(r.score - np.exp(z[1]) / np.exp(z).sum()) < 1e-5
+    # one batch of one step: output weights begin at 0, so vectors stay and output and bias move along the gradient
+    pair = [("aaa bbb", 1), ("cccc", 0)]
+    start = quality.train(pair, epochs=1, rate=0.0)
+    step = quality.train(pair, epochs=1, rate=0.5)
+    hidden = np.array([np.mean([start.vectors[b] for b in _plain_features(t)], axis=0) for t, _ in pair])
+    err = np.array([[0.5, -0.5], [-0.5, 0.5]])
+    assert np.allclose(step.output, -0.5 * 4 * hidden.T @ err / 2, atol=1e-6) and np.allclose(step.bias, -0.5 * err.mean(0)) and np.array_equal(step.vectors, start.vectors)
+
+
 def test_quality_of_odd_texts(spark):
     model = quality.train([("plain good words here", 1), ("!! *** $$$ %%%", 0)] * 20)
     got = quality.score(_docs(spark, ["plain words", "*** $$$", "", None, "w " * 9000]), model).collect()
