@@ -25,31 +25,26 @@ K1, B = 1.2, 0.75
 
 
 class TextIndex(NamedTuple):
-    """Postings (term, record_id, passage_id, dl, tf), the dictionary (term, passages) and one row of statistics (n, avgdl) of some passages."""
+    """Of some passages: their words (record_id, passage_id, t), postings (term, record_id, passage_id), the dictionary (term, passages) and one row of statistics (n, avgdl)."""
 
+    words: DataFrame
     postings: DataFrame
     dictionary: DataFrame
     stats: DataFrame
 
 
 def text_index(passages: DataFrame) -> TextIndex:
-    """passages(record_id, passage_id, body), tokenised once.
-
-    A row is a distinct token of a passage; one without tokens is a row without a term, so lengths come from the same rows: each
-    passage's first token is marked.
-    """
-    toks = passages.select("record_id", "passage_id", T.tokens(F.col("body")).alias("t"))
-    each = toks.select("record_id", "passage_id", F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term"))
-    rows = each.groupBy("record_id", "passage_id", "dl", "term").agg(F.count("term").alias("tf"), F.bool_or(F.coalesce("pos", F.lit(0)) == 0).alias("first"))
-    rows = staged(rows)
-    posted = rows.where("term is not null").drop("first")
+    """passages(record_id, passage_id, body), tokenised once."""
+    words = staged(passages.select("record_id", "passage_id", T.tokens(F.col("body")).alias("t")))
+    posted = staged(words.select("record_id", "passage_id", F.explode(F.array_distinct("t")).alias("term")))
     dictionary = staged(posted.groupBy("term").agg(F.count("*").alias("passages")))
-    return TextIndex(posted, dictionary, rows.where("first").agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl")))
+    return TextIndex(words, posted, dictionary, words.agg(F.count("*").alias("n"), F.avg(F.size("t").cast("double")).alias("avgdl")))
 
 
 def write_index(store: Versions, index: TextIndex, buckets: int = 64) -> None:
     """The index as tables of a folder, postings and dictionary dealt by term, as one version."""
     with store.change() as c:
+        c.put("words", index.words, "record_id", buckets)
         c.put("postings", index.postings, "term", buckets)
         c.put("dictionary", index.dictionary, "term", buckets)
         c.put("text_stats", index.stats)
@@ -57,12 +52,12 @@ def write_index(store: Versions, index: TextIndex, buckets: int = 64) -> None:
 
 def read_index(store: Versions, queries: DataFrame | None = None) -> TextIndex:
     """The stored index; with queries, only the buckets of postings that their terms can need."""
-    dictionary = store.read("dictionary")
-    if queries is None:
-        return TextIndex(store.read("postings"), dictionary, store.read("text_stats"))
-    seen = Change(store)
-    found = staged(expanded(terms_of(queries).select(F.col("term").alias("prefix")).distinct(), dictionary))
-    return TextIndex(seen.held("postings", seen.touched("postings", found)), dictionary, store.read("text_stats"))
+    dictionary, postings = store.read("dictionary"), store.read("postings")
+    if queries is not None:
+        seen = Change(store)
+        found = staged(expanded(terms_of(queries).select(F.col("term").alias("prefix")).distinct(), dictionary))
+        postings = seen.held("postings", seen.touched("postings", found))
+    return TextIndex(store.read("words"), postings, dictionary, store.read("text_stats"))
 
 
 def term_stats(index: TextIndex) -> DataFrame:
@@ -98,18 +93,26 @@ def expanded(prefixes: DataFrame, dictionary: DataFrame) -> DataFrame:
 def lexical_join(queries: DataFrame, index: TextIndex) -> DataFrame:
     """query_id, term_no, record_id, passage_id, tf, df, dl: every term of a query in every passage that holds all of them; tf and df count what a prefix matches.
 
-    A query starts from the passages of its rarest term, and only those are looked up for the other ones, by passage and whole term.
+    A query starts from the passages of the term that the dictionary knows to be rarest, and only in those its other terms are looked
+    for, among their words.  Passages are counted for the terms of queries that found some, from postings where a prefix has several words.
     """
     terms = staged(terms_of(queries).withColumnRenamed("term", "prefix"))
-    found = expanded(terms.select("prefix").distinct(), index.dictionary)
-    posted = staged(index.postings.join(found, "term").groupBy("prefix", "record_id", "passage_id", "dl").agg(F.sum("tf").alias("tf")))
-    counts = posted.groupBy("prefix").agg(F.count("*").alias("df"))
-    asked = staged(terms.join(counts, "prefix", "left"))
-    whole = asked.groupBy("query_id").agg(F.count("*").alias("need"), F.min(F.struct("df", "prefix")).alias("rarest"), F.bool_and(F.col("df").isNotNull()).alias("known")).where("known")
-    start = whole.select("query_id", "need", F.col("rarest.prefix").alias("prefix")).join(posted.select("prefix", "record_id", "passage_id"), "prefix").drop("prefix")
-    rows = start.join(asked, "query_id").join(posted, ["prefix", "record_id", "passage_id"])
-    both = rows.groupBy("query_id", "record_id", "passage_id", "dl", "need").agg(F.collect_list(F.struct("term_no", "tf", "df")).alias("of"))
-    return both.where(F.size("of") == F.col("need")).select("query_id", "record_id", "passage_id", "dl", F.inline("of"))
+    found = staged(expanded(terms.select("prefix").distinct(), index.dictionary).join(index.dictionary, "term"))
+    most = found.groupBy("prefix").agg(F.sum("passages").alias("most"), F.count("*").alias("words"))
+    asked = terms.join(most, "prefix", "left").groupBy("query_id").agg(
+        F.collect_list(F.struct("term_no", "prefix")).alias("of"), F.min(F.struct("most", "prefix")).alias("rarest"), F.bool_and(F.col("most").isNotNull()).alias("known"),
+    ).where("known")
+    asked = staged(asked.select("query_id", "of", F.col("rarest.prefix").alias("prefix")))
+    start = asked.select("query_id", "prefix").join(found.select("prefix", "term"), "prefix").join(index.postings, "term").select("query_id", "record_id", "passage_id").distinct()
+    rows = start.join(index.words, ["record_id", "passage_id"]).join(asked.select("query_id", "of"), "query_id")
+    counted = F.transform("of", lambda x: F.struct(x["term_no"].alias("term_no"), x["prefix"].alias("prefix"), F.size(F.filter("t", lambda w: w.startswith(x["prefix"]))).cast("long").alias("tf")))
+    rows = rows.select("query_id", "record_id", "passage_id", F.size("t").alias("dl"), counted.alias("of")).where(F.forall("of", lambda x: x["tf"] > 0))
+    hits = staged(rows.select("query_id", "record_id", "passage_id", "dl", F.inline("of")))
+    needed = most.join(hits.select("prefix").distinct(), "prefix", "left_semi")
+    several = found.join(needed.where("words > 1").select("prefix"), "prefix", "left_semi").select("prefix", "term")
+    held = index.postings.join(several, "term").select("prefix", "record_id", "passage_id").distinct().groupBy("prefix").agg(F.count("*").alias("df"))
+    df = held.unionByName(needed.where("words = 1").select("prefix", F.col("most").alias("df")))
+    return hits.join(df, "prefix").select("query_id", "term_no", "record_id", "passage_id", "tf", "df", "dl")
 
 
 def bm25(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
