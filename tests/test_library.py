@@ -94,6 +94,14 @@ def test_blocks_of_scores_equal_every_pair(spark):
     assert retrieval.dense_scores(q, v.where("false")).count() == 0 and retrieval.dense_scores(q.where("false"), v).count() == 0
 
 
+def test_cosine_meets_every_vector(spark, duck):
+    vectors = dict(duck.sql("select vec_id, embedding from embeddings").fetchall())
+    rows = QUERIES["cosine"](spark, SF).collect()
+    got = {(r.query_id, r.vec_id): r.similarity for r in rows}
+    assert len(rows) == len(got) and got.keys() == {(a, b) for a in vectors if a % 20 == 0 for b in vectors}
+    assert all(abs(c - _cos(vectors[a], vectors[b])) < 1e-6 for (a, b), c in got.items())
+
+
 def _cos(a, b):
     if a is None or b is None or None in a + b or len(a) != len(b) or not any(a) or not any(b):
         return 0.0
