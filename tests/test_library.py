@@ -94,6 +94,14 @@ def test_blocks_of_scores_equal_every_pair(spark):
     assert retrieval.dense_scores(q, v.where("false")).count() == 0 and retrieval.dense_scores(q.where("false"), v).count() == 0
 
 
+def test_scores_of_vectors_without_records(spark):
+    v = spark.createDataFrame([(1, [2.0, 0.0]), (2, [-1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0])], "vec_id int, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, qvec array<double>")
+    got = retrieval.dense_scores(q, v)
+    assert got.columns == ["query_id", "vec_id", "similarity"]
+    assert {r.vec_id: round(r.similarity, 3) for r in got.collect()} == {1: 1.0, 2: -0.707, 3: 0.0, 4: 0.0, 5: 0.0}
+
+
 def test_cosine_meets_every_vector(spark, duck):
     vectors = dict(duck.sql("select vec_id, embedding from embeddings").fetchall())
     rows = QUERIES["cosine"](spark, SF).collect()
