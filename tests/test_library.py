@@ -6,6 +6,7 @@ import math
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,18 @@ def test_scores_of_vectors_without_records(spark):
     assert {r.vec_id: round(r.similarity, 3) for r in got.collect()} == {1: 1.0, 2: -0.707, 3: 0.0, 4: 0.0, 5: 0.0}
 
 
+def test_scores_of_a_block_in_parts():
+    qs = [[1.0, 2.0], [3.0], None, [0.0, 0.0], [2.0, -1.0], [5.0], [math.nan, 1.0]]
+    vs = [[1.0, 0.0], [2.0], [0.5, 0.25], None, [1.0, None]]
+    q = pa.array([[{"query_id": i, "qvec": x} for i, x in enumerate(qs)]], pa.list_(pa.struct([("query_id", pa.int64()), ("qvec", pa.list_(pa.float64()))])))
+    v = pa.array([[{"vec_id": i, "embedding": x} for i, x in enumerate(vs)]], pa.list_(pa.struct([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64()))])))
+    block, kinds = pa.RecordBatch.from_arrays([q, v], ["q_rows", "v_rows"]), [("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())]
+    want = [(i, j, repr(round(_cos(a, b), 4))) for i, a in enumerate(qs) for j, b in enumerate(vs)]
+    for rows_out in (1, 10, 1 << 18):
+        got = pa.Table.from_batches(retrieval._block_cosines([block], kinds, 4, rows_out)).to_pylist()
+        assert [(r["query_id"], r["vec_id"], repr(r["similarity"])) for r in got] == want
+
+
 def test_cosine_meets_every_vector(spark, duck):
     vectors = dict(duck.sql("select vec_id, embedding from embeddings").fetchall())
     rows = QUERIES["cosine"](spark, SF).collect()
