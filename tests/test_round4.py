@@ -6,6 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import links, retrieval
+from quillspark.plans import staging
 from quillspark.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +30,39 @@ def test_empty_documents_are_taken(spark, emptied, name):
     got, want = QUERIES[name](spark, d), con.sql(ORACLE_SQL[name])
     cols = sorted(got.columns)
     assert sorted(map(repr, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(map(repr, want.select(*cols).fetchall()))
+
+
+def _staged_rows(monkeypatch):
+    """Rows of every table that is staged from now on."""
+    rows, put = [], staging.Staged.__init__
+
+    def init(self, df):
+        put(self, df)
+        rows.append(self.df.count())
+
+    monkeypatch.setattr(staging.Staged, "__init__", init)
+    return rows
+
+
+def test_distances_stage_words_and_not_pairs(spark, monkeypatch):
+    """400 records, each linked to one of two hubs and some to a chain: the pairs are the result's alone."""
+    n = 400
+    edges = [(f"r{i}", f"r{i % 2}") for i in range(2, n)] + [(f"r{i}", f"r{i + 1}") for i in range(390, n - 1)] + [("r5", "absent")]
+    links_ = spark.createDataFrame([(u, "record", v, 0) for u, v in edges], "record_id string, target_kind string, target string, span_start int")
+    records = spark.createDataFrame([(f"r{i}", None) for i in range(n)], "record_id string, name_slug string")
+    around = {f"r{i}": set() for i in range(n)}
+    for u, v in edges:
+        if v in around:
+            around[u].add(v), around[v].add(u)
+    want = set()
+    for s in around:
+        seen, last = {s}, {s}
+        for depth in range(3):
+            want |= {(s, x, depth) for x in last}
+            last = {y for x in last for y in around[x]} - seen
+            seen |= last
+    rows = _staged_rows(monkeypatch)
+    got = links.link_distance(links_, records, records.select("record_id"), 2)
+    assert max(rows) < len(want) / 15
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(want) and set(got) == want
