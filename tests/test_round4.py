@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +71,63 @@ def test_distances_stage_words_and_not_pairs(spark, monkeypatch):
     assert max(rows) < len(want) / 15
     got = [tuple(r) for r in got.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def _blocks(queries, vectors):
+    """A block of queries (id, vector) against one of (record, number, vector, open)."""
+    q = pa.array([[{"query_id": i, "qvec": x} for i, x in queries]], pa.list_(pa.struct([("query_id", pa.int64()), ("qvec", pa.list_(pa.float32()))])))
+    kind = pa.struct([("record_id", pa.string()), ("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("open", pa.bool_())])
+    v = pa.array([[dict(zip(("record_id", "vec_id", "embedding", "open"), r)) for r in vectors]], pa.list_(kind))
+    return pa.RecordBatch.from_arrays([q, v], ["q_rows", "v_rows"])
+
+
+_KINDS = [("query_id", pa.int64()), ("record_id", pa.string()), ("best", pa.list_(pa.float64())), ("open", pa.bool_())]
+
+
+@pytest.mark.parametrize("top", [1, 3])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_few_pairs_of_a_block_are_summed_one_by_one(monkeypatch, top, repeated):
+    rng = np.random.default_rng(7)
+    qs = [(i // 20 if repeated else i, x.tolist()) for i, x in enumerate(rng.normal(size=(100, 16)))]
+    vs = [(f"r{i % 5}", i, x.tolist(), i % 5 == 4) for i, x in enumerate(rng.normal(size=(1000, 16)))]
+    summed, pairs = [], retrieval._pair_cosines
+    monkeypatch.setattr(retrieval, "_pair_cosines", lambda x, y: summed.append(len(x)) or pairs(x, y))
+    limit = 2 if top == 1 or not repeated else 99
+    got = {(r["query_id"], r["record_id"]): r["best"] for b in retrieval._block_best([_blocks(qs, vs)], _KINDS, top, limit) for r in pa.Table.from_batches([b]).to_pylist()}
+    assert sum(summed) < 100 * 1000 / 10
+    x, y = np.array([q[1] for q in qs], np.float32).astype(float), np.array([v[2] for v in vs], np.float32).astype(float)
+    cos = (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+    for k in {q[0] for q in qs}:
+        of_q = [n for n, q in enumerate(qs) if q[0] == k]
+        want = {r: np.sort(cos[np.ix_(of_q, [n for n, v in enumerate(vs) if v[0] == r])].ravel())[::-1][:top] for r in ("r0", "r1", "r2", "r3", "r4")}
+        closed = sorted(("r0", "r1", "r2", "r3"), key=lambda r: -want[r].mean())
+        for r in [*closed[:limit], "r4"]:
+            assert np.allclose(got[k, r], want[r], atol=1e-12)
+        assert limit > 4 or len([r for n, r in got if n == k]) == limit + 1
+
+
+def test_repeated_queries_and_odd_numbers(spark):
+    """The three best pairs of a query of many vectors lie in several blocks; a vector without a finite norm is not lost."""
+    rng = np.random.default_rng(5)
+    qs = [(i % 2, x.tolist()) for i, x in enumerate(rng.normal(size=(24, 4)))]
+    vs = [(f"r{i % 7}", i, x.tolist()) for i, x in enumerate(rng.normal(size=(40, 4)))] + [("odd", 90, [math.nan, 1.0, 0.0, 0.0])]
+    q = spark.createDataFrame(qs, "query_id int, qvec array<double>")
+    v = spark.createDataFrame(vs, "record_id string, vec_id int, embedding array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    for top, limit in ((1, 3), (3, 3)):
+        want = {}
+        for k in (0, 1):
+            scores = {r: np.mean(sorted((cos(x, y) for n, x in qs if n == k for s, _, y in vs if s == r), reverse=True)[:top]) for r in {s for s, _, _ in vs if s != "odd"}}
+            want[k] = ["odd", *sorted(scores, key=lambda r: -scores[r])][:limit]
+        got = retrieval.vector_candidates(retrieval.dense_best(q, v, top, limit, 3, 8), limit).orderBy("rank").collect()
+        assert {k: [r.record_id for r in got if r.query_id == k] for k in (0, 1)} == want
+
+
+def test_blocks_are_not_broadcast(spark):
+    """What the blocks of queries weigh is known before they are repeated for every block of vectors, when Spark would take them for small."""
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, qvec array<double>")
+    v = spark.createDataFrame([("a", 1, [1.0, 0.0])], "record_id string, vec_id int, embedding array<double>")
+    for df in (retrieval.dense_best(q, v, 1, 1), retrieval.dense_scores(q, v)):
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "isFinalPlan=true" in final and "BroadcastHashJoin [v#" not in final and "SortMergeJoin" in final
