@@ -131,3 +131,20 @@ def test_blocks_are_not_broadcast(spark):
         df.collect()
         final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert "isFinalPlan=true" in final and "BroadcastHashJoin [v#" not in final and "SortMergeJoin" in final
+
+
+@pytest.mark.parametrize("sizes", [(400, 300, 300), (1, 5, 94), (2, None, 3)])
+def test_length_norm_keeps_no_pairs(spark, monkeypatch, sizes):
+    """Equals the pooling of all pairs, which are not staged; a null record is a group of its own there."""
+    rng = np.random.default_rng(11)
+    names = [None if s is None else f"r{i}" for i, s in enumerate(sizes) for _ in range(s or 4)]
+    vs = [(r, i, None if i % 50 == 49 else x.tolist()) for i, (r, x) in enumerate(zip(names, rng.normal(size=(len(names), 6))))]
+    v = spark.createDataFrame(vs, "record_id string, vec_id int, embedding array<double>")
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(30, 6)))], "query_id int, qvec array<double>")
+    plain = lambda df: sorted((r.query_id, r.record_id or "", round(r.score, 9)) for r in df.collect())
+    want = plain(retrieval.pool_length_norm(retrieval.dense_scores(q, v)))
+    rows = _staged_rows(monkeypatch)
+    assert plain(retrieval.pooled(q, v, "length_norm", 99)) == want and len(want) == 90
+    assert None in sizes or max(rows) < 30 * len(vs) / 10
+    if None not in sizes:
+        assert plain(retrieval.length_norm_best(q, v, 7, 32)) == want
