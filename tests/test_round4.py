@@ -148,3 +148,20 @@ def test_length_norm_keeps_no_pairs(spark, monkeypatch, sizes):
     assert None in sizes or max(rows) < 30 * len(vs) / 10
     if None not in sizes:
         assert plain(retrieval.length_norm_best(q, v, 7, 32)) == want
+
+
+def test_words_are_neither_staged_as_postings_nor_shuffled(spark, monkeypatch):
+    """Queries of few terms read the words where they lie; those of many give the same from postings."""
+    rng = np.random.default_rng(2)
+    some = [f"{a}{b}" for a in ("al", "be", "ga", "é") for b in ("", "x", "yz")]
+    texts = [(f"r{i % 60}", i, " ".join(rng.choice(some, 12))) for i in range(300)] + [("none", 300, None), ("blank", 301, "")]
+    p = spark.createDataFrame(texts, "record_id string, passage_id int, body string")
+    q = spark.createDataFrame([(1, "al be"), (2, "alx gayz alx"), (3, "é"), (4, "zz al"), (5, ""), (6, "be")], "query_id int, query string")
+    rows = _staged_rows(monkeypatch)
+    plain = lambda: sorted(map(repr, retrieval.lexical_join(q, retrieval.text_index(p)).collect()))
+    few = plain()
+    assert max(rows) < sum(len(set(t.split())) for _, _, t in texts if t)
+    monkeypatch.setattr(retrieval, "_FEW", 0)
+    assert few == plain() and {eval(r.split("query_id=")[1].split(",")[0]) for r in few} == {1, 2, 3, 6}
+    plan = retrieval.text_index(p).postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan
